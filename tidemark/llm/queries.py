@@ -5,11 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import langid
 from .common import table
+from .mixing import mix
 from .quality import quality
 from .sharding import stratified_shards
 
 
+def _remainder(key: str, by: int):
+    """crc32 of the key as text, modulo ``by``."""
+    return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % by
+
+
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (_remainder("doc_id", 4) == 2).alias("held_out"))
+    model = langid.fit(docs.where(~F.col("held_out")))
+    return langid.predict(docs, model, keep=["doc_id", "held_out"])
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         "doc_id",
@@ -25,6 +38,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id", "source")
+
+
 def queries() -> dict:
     return {name: f for name, f in sorted(globals().items()) if name.startswith("op") and name[2].isdigit()}
 
