@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import langid, lm
 from .common import table
 from .mixing import mix
+from .neardup import near_duplicates
 from .quality import quality
 from .sharding import stratified_shards
 
@@ -23,6 +24,10 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model, keep=["doc_id", "held_out"])
 
 
+def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=2)
+
+
 def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (_remainder("doc_id", 7) == 2).alias("held_out"))
     model = lm.fit(docs.where(~F.col("held_out")))
