@@ -154,7 +154,7 @@ def in_blocks(clumps: DataFrame, docs: DataFrame, words: int, percent: int) -> D
     ids = checkpointed(clumps.select("id").distinct())
     texts = _picked(docs, ids).dropDuplicates(["id"])
 
-    def run(key, rows: pa.Table) -> pa.Table:
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         _, i, j = (x.as_py() for x in key)
         ids, block = rows["id"].to_pylist(), rows["block"].to_pylist()
         sets = shingle_sets(rows["text"], words)
