@@ -10,7 +10,13 @@ from .common import table
 from .mixing import mix
 from .neardup import near_duplicates
 from .quality import quality
+from .sentencepiece_scan import encode
 from .sharding import stratified_shards
+from .tokencount import token_counts
+from .unigram import Vocabulary
+
+#: The pieces of a public tokenizer.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def _remainder(key: str, by: int):
@@ -28,12 +34,21 @@ def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=2)
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str, pieces: str = PIECES) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), Vocabulary.read(pieces), keep=["doc_id"])
+
+
 def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (_remainder("doc_id", 7) == 2).alias("held_out"))
     model = lm.fit(docs.where(~F.col("held_out")))
     return lm.score(docs, model, keep=["doc_id", "held_out"])
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str, pieces: str = PIECES) -> DataFrame:
+    ids = encode(table(spark, sf_dir, "documents"), Vocabulary.read(pieces), keep=["doc_id"], verify=True)
+    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), "round_trip")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         "doc_id",
