@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import ann, langid, lm
 from .common import table
+from .licenses import license_scan
 from .mixing import mix
 from .neardup import near_duplicates
 from .quality import quality
@@ -30,6 +31,11 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model, keep=["doc_id", "held_out"])
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"))
+    return license_scan(docs, "doc_id", "path", "text")
+
+
 def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=2)
 
