@@ -30,7 +30,7 @@ class Band:
 
 
 #: Short texts hardly compress, so the limits widen as texts get shorter.
-BANDS = (Band(0, 0.0, 9.9), Band(128, 0.28, 1.02), Band(512, 0.25, 0.90), Band(2048, 0.20, 0.80), Band(16384, 0.15, 0.75))
+BANDS = (Band(0, 0.0, 9.9), Band(128, 0.28, 1.02), Band(512, 0.25, 0.85), Band(2048, 0.20, 0.72), Band(16384, 0.15, 0.70))
 CHUNK_BYTES = 4096
 #: The share of chunks outside their band from which a text is rejected.
 BAD_CHUNKS = 0.5
