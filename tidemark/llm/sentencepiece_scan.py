@@ -122,11 +122,12 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: list
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = worker_segmenter(shared)
         for batch in batches:
-            texts = [t.as_py() or "" for t in batch.column(len(keep))]
-            ids = [model.encode(model.normalize(t)) for t in texts]
-            made = [pa.array(ids, pa.list_(pa.int32()))]
+            texts = [t or "" for t in batch.column(len(keep)).to_pylist()]
+            ids = model.encode_all(texts)
+            offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+            made = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int32), *ids])))]
             if verify:
-                made.append(pa.array([model.decode(i) == t for i, t in zip(ids, texts)], pa.bool_()))
+                made.append(pa.array([model.decode(i.tolist()) == t for i, t in zip(ids, texts)], pa.bool_()))
             yield pa.RecordBatch.from_arrays(batch.columns[: len(keep)] + made, names=keep + added)
 
     long = F.coalesce(F.char_length("__text") > giant, F.lit(False))

@@ -32,7 +32,7 @@ def token_counts(df: DataFrame, vocabulary: Vocabulary, text: str = "text", keep
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = worker_segmenter(shared)
         for batch in batches:
-            found = [model.count(t.as_py() or "") for t in batch.column(len(keep))]
+            found = model.count_all([t or "" for t in batch.column(len(keep)).to_pylist()])
             made = [pa.array([n for n, _ in found], pa.int64()), pa.array([s / UNIT for _, s in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(batch.columns[: len(keep)] + made, names=keep + added)
 

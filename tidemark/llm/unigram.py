@@ -15,17 +15,22 @@ less 10, and is written as its UTF-8 bytes.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from array import array
+from dataclasses import dataclass
 from math import log
 
 import ahocorasick
+import numpy as np
 
 SPACE = "▁"
 UNIT = 16
 UNKNOWN_PENALTY = 10 * UNIT
 NONE = -(1 << 60)
 #: Segments whose result a worker remembers before it starts afresh.
-MEMORY = 300_000
+MEMORY = 800_000
+#: A count and a score in one number, so that a text's are one sum.
+SCORE_BITS = 44
+_LOW = (1 << SCORE_BITS) - 1
 
 
 @dataclass
@@ -51,16 +56,30 @@ class Vocabulary:
         return Vocabulary(pieces, scores, [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
 
 
+class Memory(dict):
+    """What a function gave for the segments seen of late."""
+
+    def __init__(self, find):
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, part: str):
+        if len(self) >= MEMORY:
+            self.clear()
+        self[part] = out = self.find(part)
+        return out
+
+
 @dataclass
 class Segmenter:
     """One worker's automaton and memory."""
 
     vocabulary: Vocabulary
-    counts: dict[str, tuple[int, int]] = field(default_factory=dict)
-    ids: dict[str, tuple[int, ...]] = field(default_factory=dict)
 
     def __post_init__(self):
         v = self.vocabulary
+        self.counts = Memory(self.count_segment)  # count << SCORE_BITS, less the score
+        self.ids = Memory(self.encode_segment)  # int32
         self.found = ahocorasick.Automaton()
         for i, (piece, score) in enumerate(zip(v.pieces, v.scores)):
             if score is not None:
@@ -122,58 +141,75 @@ class Segmenter:
                 out += [self.vocabulary.byte_ids[b] for b in reversed(part[at].encode("utf-8", "surrogatepass"))]
         return at, out[::-1]
 
-    def count_segment(self, part: str) -> tuple[int, int]:
-        """Pieces and score of one segment, with the count carried beside the best score."""
-        if (known := self.counts.get(part)) is not None:
-            return known
-        n = len(part)
-        best, count, single = [0] + [NONE] * n, [0] * (n + 1), [False] * n
+    def count_segment(self, part: str) -> int:
+        """The count and score of one segment; memory holds its positions, and no piece of it."""
+        n, unknown = len(part), self.unknown
+        best, count, single = [0] + [NONE] * n, [0] * (n + 1), [False] * (n + 1)
         e = 0
-
-        def settle(upto: int) -> None:
-            nonlocal e
-            while e < upto:  # all matches that end at e + 1 are in
-                if not single[e] and best[e] + self.unknown > best[e + 1]:
-                    best[e + 1], count[e + 1] = best[e] + self.unknown, count[e] + len(part[e].encode("utf-8", "surrogatepass"))
-                e += 1
-
         for end, (length, score, _) in self.found.iter(part):
-            settle(end)
+            while e < end:  # all matches that end before are in
+                if not single[e] and best[e] + unknown > best[e + 1]:
+                    best[e + 1], count[e + 1] = best[e] + unknown, count[e] + len(part[e].encode("utf-8", "surrogatepass"))
+                e += 1
             s = end + 1 - length
             if length == 1:
                 single[end] = True
-            if best[s] + score > best[end + 1]:
-                best[end + 1], count[end + 1] = best[s] + score, count[s] + 1
-        settle(n)
-        if len(self.counts) >= MEMORY:
-            self.counts.clear()
-        self.counts[part] = out = (count[n], best[n])
+            score += best[s]
+            if score > best[end + 1]:  # the longest came first
+                best[end + 1], count[end + 1] = score, count[s] + 1
+        while e < n:
+            if not single[e] and best[e] + unknown > best[e + 1]:
+                best[e + 1], count[e + 1] = best[e] + unknown, count[e] + len(part[e].encode("utf-8", "surrogatepass"))
+            e += 1
+        return (count[n] << SCORE_BITS) - best[n]
+
+    def encode_segment(self, part: str) -> bytes:
+        """The ids of one segment."""
+        n, unknown = len(part), self.unknown
+        best, back, single = [0] + [NONE] * n, [(0, -1)] * (n + 1), [False] * (n + 1)
+        e = 0
+        for end, (length, score, i) in self.found.iter(part):
+            while e < end:
+                if not single[e] and best[e] + unknown > best[e + 1]:
+                    best[e + 1], back[e + 1] = best[e] + unknown, (e, -1)
+                e += 1
+            s = end + 1 - length
+            if length == 1:
+                single[end] = True
+            score += best[s]
+            if score > best[end + 1]:
+                best[end + 1], back[end + 1] = score, (s, i)
+        while e < n:
+            if not single[e] and best[e] + unknown > best[e + 1]:
+                best[e + 1], back[e + 1] = best[e] + unknown, (e, -1)
+            e += 1
+        out = []
+        while n:
+            n, i = back[n]
+            if i >= 0:
+                out.append(i)
+            else:
+                out += [self.vocabulary.byte_ids[b] for b in reversed(part[n].encode("utf-8", "surrogatepass"))]
+        out.reverse()
+        return array("i", out).tobytes()
+
+    def count_all(self, texts: list[str]) -> list[tuple[int, int]]:
+        """Pieces and score of whole texts."""
+        out = []
+        for t in texts:
+            total = sum(map(self.counts.__getitem__, self.segment.findall(self.normalize(t))))
+            out.append((total >> SCORE_BITS, -(total & _LOW)))
         return out
 
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of whole texts."""
+        return [np.frombuffer(b"".join(map(self.ids.__getitem__, self.segment.findall(self.normalize(t)))), np.int32) for t in texts]
+
     def count(self, text: str) -> tuple[int, int]:
-        """Pieces and score of a whole text."""
-        known, pieces, score = self.counts.get, 0, 0
-        for part in self.segment.findall(self.normalize(text)):
-            n, s = known(part) or self.count_segment(part)
-            pieces += n
-            score += s
-        return pieces, score
-
-    def encode_segment(self, part: str) -> tuple[int, ...]:
-        if (known := self.ids.get(part)) is not None:
-            return known
-        _, back = self.forward(part, len(part), {0: 0})
-        if len(self.ids) >= MEMORY:
-            self.ids.clear()
-        self.ids[part] = out = tuple(self.trace(part, back, len(part))[1])
-        return out
+        return self.count_all([text])[0]
 
-    def encode(self, normal: str) -> list[int]:
-        """The ids of a normalized text, or of a part of one between two cuts."""
-        known, out = self.ids.get, []
-        for part in self.segment.findall(normal):
-            out += known(part) or self.encode_segment(part)
-        return out
+    def encode(self, text: str) -> list[int]:
+        return self.encode_all([text])[0].tolist()
 
     def decode(self, ids: list[int]) -> str:
         raw = b"".join(map(self.bytes.__getitem__, ids))
