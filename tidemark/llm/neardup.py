@@ -99,7 +99,7 @@ def _ends(pairs: DataFrame) -> DataFrame:
 def confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, size: int, percent: int) -> DataFrame:
     """The links among candidate pairs ``a`` < ``b``: the estimate first, then the full sets."""
     p = percent / 100
-    floor_ = p - 5 * sqrt(p * (1 - p) / size)
+    floor_ = p - 6 * sqrt(p * (1 - p) / size)
     pairs = checkpointed(pairs.distinct())
     own = _picked(reps.select("id", "sketch"), _ends(pairs))
     joined = pairs.join(own.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a").join(own.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b")
