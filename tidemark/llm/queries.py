@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, lm
+from . import ann, langid, licenses, lm
 from .common import table
 from .licenses import license_scan
 from .mixing import mix
@@ -102,5 +102,52 @@ FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN root ON root.a = w.doc_id
 """
 
 
+def licenses_sql() -> str:
+    """The license scan over the same templates."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({quoted(name)}, {i}, {quoted(text)})" for name, texts in sorted(licenses.TEMPLATES.items()) for i, text in enumerate(texts))
+    term, anchors = quoted(licenses.TERM), quoted("|".join(licenses.ANCHORS))
+    return f"""
+WITH docs AS (SELECT doc_id, text, concat_ws('/', source, lang, CAST(doc_id AS VARCHAR)) AS path FROM documents),
+tpl AS (SELECT * FROM (VALUES {rows}) AS t(license, template, text)),
+tt AS (SELECT license, template, term, count(*) AS n FROM (SELECT license, template, unnest(regexp_extract_all(lower(text), {term})) AS term FROM tpl) GROUP BY ALL),
+vocab AS (SELECT DISTINCT term FROM tt),
+df AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), {term})) AS term FROM docs) JOIN vocab USING (term) GROUP BY term),
+idf AS (SELECT term, ln((1 + (SELECT count(*) FROM docs)) / (1.0 + coalesce(df, 0))) + 1 AS idf FROM vocab LEFT JOIN df USING (term)),
+tw AS (SELECT license, template, term, (1 + ln(n)) * idf AS w FROM tt JOIN idf USING (term)),
+model AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY license, template)) AS u FROM tw),
+lines AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM docs WHERE regexp_matches(lower(text), {anchors})),
+first AS (SELECT doc_id, l, i FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM lines) WHERE regexp_matches(lower(l[i]), {anchors})),
+parts AS (SELECT doc_id, 0 AS pos, 0 AS width, text AS part FROM lines UNION ALL SELECT doc_id, i, 1, l[i] FROM first UNION ALL SELECT doc_id, i, 12, array_to_string(l[i:i + {licenses.HEADER_LINES - 1}], ' ') FROM first),
+counted AS (SELECT doc_id, pos, width, term, count(*) AS n FROM (SELECT doc_id, pos, width, unnest(regexp_extract_all(lower(part), {term})) AS term FROM parts) GROUP BY ALL),
+weighed AS (SELECT c.*, (1 + ln(n)) * idf AS w, idf IS NOT NULL AS known FROM counted c LEFT JOIN idf USING (term)),
+norms AS (SELECT doc_id, pos, width, sqrt(sum(w * w)) AS norm, sum(CASE WHEN known THEN n ELSE 0 END) / sum(n) AS share FROM weighed GROUP BY ALL),
+dots AS (SELECT doc_id, pos, width, license, template, sum(weighed.w * u) AS dot FROM weighed JOIN model USING (term) WHERE pos > 0 GROUP BY ALL),
+scored AS (SELECT doc_id, license, round(least(1.0, dot / norm), 6) AS score FROM dots JOIN norms USING (doc_id, pos, width)),
+best AS (SELECT doc_id, license, score FROM scored QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license) = 1),
+own AS (
+  SELECT d.doc_id, d.path, regexp_replace(d.path, '/?[^/]*$', '') AS dir, b.license, b.score,
+    b.license IS NOT NULL AND (regexp_matches(regexp_extract(d.path, '([^/]*)$', 1), {quoted(licenses.FILE_NAME)}) OR n.share >= {licenses.FILE_SHARE}) AS file
+  FROM docs d LEFT JOIN (SELECT * FROM best WHERE score >= {licenses.THRESHOLD}) b USING (doc_id) LEFT JOIN (SELECT * FROM norms WHERE pos = 0) n USING (doc_id)),
+given AS (SELECT dir, license, score FROM own WHERE file QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, license) = 1),
+steps AS (SELECT dir, i AS depth, array_to_string(string_split(dir, '/')[1:i], '/') AS above FROM (SELECT dir, unnest(range(0, len(string_split(dir, '/')) + 1)) AS i FROM (SELECT DISTINCT dir FROM own WHERE license IS NULL))),
+near AS (SELECT s.dir, s.above, g.license, g.score FROM steps s JOIN given g ON s.above = g.dir QUALIFY row_number() OVER (PARTITION BY s.dir ORDER BY depth DESC) = 1)
+SELECT o.doc_id, o.path, coalesce(o.license, n.license) AS license, CASE WHEN o.license IS NOT NULL THEN o.score ELSE n.score END AS score,
+  CASE WHEN o.license IS NOT NULL AND file THEN 'file' WHEN o.license IS NOT NULL THEN 'header' WHEN n.dir IS NOT NULL THEN 'inherited' END AS via,
+  CASE WHEN o.license IS NULL THEN n.above END AS from_dir
+FROM own o LEFT JOIN near n ON o.dir = n.dir
+"""
+
+
+ANN_SQL = """
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+s AS (
+  SELECT q.vec_id AS query_id, e.vec_id, list_inner_product(q.v, e.v) AS score
+  FROM e AS q JOIN e ON q.vec_id % 20 = 0 AND q.vec_id <> e.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 20
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_neardup": NEARDUP_SQL}
+    return {"op2_licenses": licenses_sql(), "op3_neardup": NEARDUP_SQL, "op10_ann": ANN_SQL}
