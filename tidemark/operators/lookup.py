@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 #: Longer key lists go to the table as a join and not as literals.
 LITERAL_KEYS = 1000
 #: Key ranges that pages are counted in.
-RANGES = 4096
+RANGES = 128
 
 
 def point_get(table: DataFrame, key: int) -> DataFrame:
@@ -46,15 +46,13 @@ def find_many(table: DataFrame, requests: DataFrame) -> DataFrame:
 def pages(table: DataFrame, rows: int) -> DataFrame:
     """Every row with its page of ``rows`` rows in order of the key.
 
-    Rows are numbered within ranges of keys, and the sizes of the ranges before
-    are added, so no task sorts more than its range; there are RANGES of them.
+    Rows are numbered within RANGES ranges of keys, which hold about as many
+    rows each, and the sizes of the ranges before are added, so no task sorts
+    more than its range.
     """
-    lo, hi = table.agg(F.min("k"), F.max("k")).first()
-    if lo is None:
-        return table.select("k", "v", F.lit(0).cast("long").alias("page"))
-    # equal ranges of keys, the same in every execution
-    width = max(1, (hi - lo) // RANGES + 1)
-    part = F.floor((F.col("k") - F.lit(lo)) / F.lit(width))
+    bounds = sorted({int(b) for b in table.approxQuantile("k", [i / RANGES for i in range(1, RANGES)], 0.25 / RANGES)})
+    # ranges of about as many rows each; the driver holds their bounds, so every execution has the same
+    part = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b <= F.col("k"))) if bounds else F.lit(0)
     spread = table.select("k", "v", part.alias("part"))
     sizes = spread.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))

@@ -286,19 +286,25 @@ class Transaction:
     def delete(self, where: Column) -> None:
         self._append(self.scan().where(where).select(F.lit("DEL").alias("op"), "k", F.lit(None).cast("long").alias("v")))
 
-    def rename(self, where: Column, key: Column) -> None:
-        """Change keys.  Keys that are both old and new in the statement are refused, unless overlaps are allowed."""
-        now = self.scan()
-        changes = dml.renames(now, where, key)
-        refuse_nulls(now.where(where).select(key.alias("k"), "v"))
+    def rename(self, where: Column, key: Column, value: Column | None = None) -> None:
+        """Change keys, and values with them if one is given; both are computed from the old row.
+
+        Keys that are both old and new in the statement are refused, unless overlaps are allowed.
+        """
+        value = F.col("v") if value is None else value
+        rows = self.scan().where(where).select(F.col("k").alias("old_k"), key.cast("long").alias("k"), value.cast("long").alias("v"))
+        refuse_nulls(rows)
+        moved = rows.where("old_k <> k")
         if not self.allow_overlap:
-            self._refuse(dml.rename_overlaps(changes), UnsupportedRename, "keys are both old and new")
-        new = changes.select(F.col("new_k").alias("k"), "v")
+            self._refuse(dml.rename_overlaps(moved.withColumnRenamed("k", "new_k")), UnsupportedRename, "keys are both old and new")
+        new = moved.select("k", "v")
         self._refuse(dml.duplicates(new), UniqueViolation, "keys twice in one statement")
         if self._logs:
-            live = self._live().join(changes.select(F.col("old_k").alias("k")), "k", "left_anti")
+            live = self._live().join(moved.select(F.col("old_k").alias("k")), "k", "left_anti")
             self._refuse(dml.existing(live, new), UniqueViolation, "keys are there in this transaction")
-        self._append(changes.select(F.lit("DEL").alias("op"), F.col("old_k").alias("k"), F.lit(None).cast("long").alias("v")), new.select(F.lit("INS").alias("op"), "k", "v"))
+        stay = rows.where("old_k = k").select(F.lit("UPD").alias("op"), "k", "v")
+        gone = moved.select(F.lit("DEL").alias("op"), F.col("old_k").alias("k"), F.lit(None).cast("long").alias("v"))
+        self._append(stay.unionByName(gone), new.select(F.lit("INS").alias("op"), "k", "v"))
 
     # ends
 
