@@ -96,9 +96,9 @@ def multi_get_empty(spark, t):
     return lookup.multi_get(t, [None])
 
 
-@query(", r AS (SELECT range AS req_id, (range * 37) % 20000 AS k FROM range(0, 1200)) SELECT r.req_id, r.k, kv.k IS NOT NULL AS found, kv.v FROM r LEFT JOIN kv ON r.k = kv.k")
+@query(", r AS (SELECT range AS req_id, (range * 37) % 20000 AS k FROM range(0, 1200)) SELECT r.req_id, r.k, kv.k IS NOT NULL AS found, coalesce(kv.v, 0) AS v FROM r LEFT JOIN kv ON r.k = kv.k")
 def multi_get_found_flags(spark, t):
-    return lookup.find_many(t, spark.range(0, 1200).select(F.col("id").alias("req_id"), ((F.col("id") * 37) % 20000).alias("k")))
+    return lookup.find_many(t, spark.range(0, 1200).select(F.col("id").alias("req_id"), ((F.col("id") * 37) % 20000).alias("k"))).fillna(0, ["v"])
 
 
 @query(f"SELECT count(*) AS hits, CAST(sum(v) AS BIGINT) AS sum_v FROM kv WHERE k IN {IN_SQL}")
@@ -268,9 +268,9 @@ def pk_dup_in_batch(spark, t):
 # logs
 
 
-@query(f", {LOG_SQL}, {LAST_SQL} SELECT k, CASE WHEN op <> 'DEL' THEN v END AS v, op = 'DEL' AS deleted FROM last", "net_effect_of_log")
+@query(f", {LOG_SQL}, {LAST_SQL} SELECT k, CASE WHEN op <> 'DEL' THEN v ELSE 0 END AS v, op = 'DEL' AS deleted FROM last", "net_effect_of_log")
 def net_effect(spark, t):
-    return overlay.net_effect(log(spark))
+    return overlay.net_effect(log(spark)).fillna(0, ["v"])
 
 
 @query(f", {LOG_SQL}, {LAST_SQL}, s AS ({STATE_SQL}) SELECT k, v FROM s WHERE k = 1")
@@ -283,9 +283,9 @@ def ryw_scan(spark, t):
     return overlay.overlay(t, overlay.net_effect(log(spark)))
 
 
-@query(f", {LOG_SQL}, {LAST_SQL} SELECT l.k, l.v, CASE WHEN op = 'DEL' THEN 'del' WHEN kv.k IS NOT NULL THEN 'upd' ELSE 'ins' END AS kind FROM (SELECT k, op, CASE WHEN op <> 'DEL' THEN v END AS v FROM last) AS l LEFT JOIN kv ON l.k = kv.k WHERE op <> 'DEL' OR kv.k IS NOT NULL")
+@query(f", {LOG_SQL}, {LAST_SQL} SELECT l.k, coalesce(l.v, 0) AS v, CASE WHEN op = 'DEL' THEN 'del' WHEN kv.k IS NOT NULL THEN 'upd' ELSE 'ins' END AS kind FROM (SELECT k, op, CASE WHEN op <> 'DEL' THEN v END AS v FROM last) AS l LEFT JOIN kv ON l.k = kv.k WHERE op <> 'DEL' OR kv.k IS NOT NULL")
 def commit_classes(spark, t):
-    return overlay.classified(t, log(spark))
+    return overlay.classified(t, log(spark)).fillna(0, ["v"])
 
 
 @query(f", ops AS {values(BAD_LOG, 'a, b, c, d')}, tag AS (SELECT o.*, lag(op) OVER (PARTITION BY o.k ORDER BY seq) AS p, kv.k IS NOT NULL AS c FROM ops o LEFT JOIN kv ON o.k = kv.k) SELECT DISTINCT k FROM tag WHERE op = 'INS' AND CASE WHEN p IS NULL THEN c ELSE p <> 'DEL' END")
@@ -299,14 +299,14 @@ def _expected_batch() -> tuple[str, str]:
     prior = "(SELECT w.op || ':' || coalesce(CAST(w.v AS VARCHAR), '') FROM r AS w WHERE w.k = r.k AND w.seq < r.seq AND w.op <> 'LOOKUP' ORDER BY w.seq DESC LIMIT 1)"
     seen = f"s AS (SELECT r.seq, r.op, {prior} AS w, kv.k IS NOT NULL AS stored, kv.v AS old FROM r LEFT JOIN kv ON r.k = kv.k)"
     there = "CASE WHEN w IS NULL THEN stored ELSE w NOT LIKE 'DELETE%' END"
-    answers = f", {reqs}, {seen} SELECT seq, CASE WHEN op IN ('INSERT', 'UPDATE') OR {there} THEN 0 ELSE 1 END AS status, CASE WHEN op = 'LOOKUP' AND {there} THEN CASE WHEN w IS NULL THEN old ELSE CAST(split_part(w, ':', 2) AS BIGINT) END END AS out_v FROM s"
+    answers = f", {reqs}, {seen} SELECT seq, CASE WHEN op IN ('INSERT', 'UPDATE') OR {there} THEN 0 ELSE 1 END AS status, CASE WHEN op = 'LOOKUP' AND {there} THEN CASE WHEN w IS NULL THEN old ELSE CAST(split_part(w, ':', 2) AS BIGINT) END ELSE 0 END AS out_v FROM s"
     state = f", {reqs}, ops AS (SELECT seq, CASE WHEN op = 'DELETE' THEN 'DEL' ELSE 'UPD' END AS op, k, v FROM r WHERE op <> 'LOOKUP'), {LAST_SQL} {STATE_SQL}"
     return answers, state
 
 
 @query(_expected_batch()[0])
 def mixed_batch(spark, t):
-    return batch.answers(t, log(spark, REQUESTS))
+    return batch.answers(t, log(spark, REQUESTS)).fillna(0, ["out_v"])
 
 
 @query(_expected_batch()[1])

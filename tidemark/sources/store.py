@@ -17,7 +17,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import UniqueViolation, UnsupportedRename, WriteConflict
+from ..errors import NullValue, UniqueViolation, UnsupportedRename, WriteConflict
 from ..functions.schema import KV, OPS, refuse_nulls, unsigned32
 from ..operators import dml
 from ..operators.lookup import find_many, multi_get, pages, point_get
@@ -177,11 +177,14 @@ class Store:
             delta = merged(self._read(m["delta"], DELTA), delta)
         new = based_on + 1
         name = f"data/{new}-{uuid.uuid4().hex}"
-        delta.select("k", "v", "deleted").write.parquet(f"{self.folder.path}/{name}.delta")
-        written = self._read(f"{name}.delta", DELTA)
         out = m | {"version": new, "delta": f"{name}.delta"}
-        if written.count() > COMPACT_AT * m["base_rows"]:
-            overlay(self._read(m["base"], KV), written).write.parquet(f"{self.folder.path}/{name}")
+        compact = m["base"] is None
+        if not compact:
+            delta.select("k", "v", "deleted").write.parquet(f"{self.folder.path}/{name}.delta")
+            delta = self._read(f"{name}.delta", DELTA)
+            compact = delta.count() > COMPACT_AT * m["base_rows"]
+        if compact:
+            overlay(self._read(m["base"], KV), delta).write.parquet(f"{self.folder.path}/{name}")
             out |= {"base": name, "delta": None, "base_rows": self._read(name, KV).count()}
         if batch:
             out["batches"] = m["batches"] | {batch[0]: batch[1]}
@@ -234,17 +237,27 @@ class Transaction:
             return self.spark.createDataFrame([], OPS)
         return self.spark.read.schema(OPS).parquet(*[f"{self.store.folder.path}/{n}" for n in self._logs])
 
-    def _append(self, *steps: DataFrame) -> DataFrame:
-        """Log the rows (op, k, v) of the steps, which take effect one after the other."""
-        name = f"{self._folder}/{uuid.uuid4().hex}"
-        rows = None
-        for i, step in enumerate(steps):
-            step = step.select(F.lit(self._seq + i).cast("long").alias("seq"), "op", "k", "v")
-            rows = step if rows is None else rows.unionByName(step)
-        rows.write.parquet(f"{self.store.folder.path}/{name}")
-        self._seq += len(steps)
-        self._logs.append(name)
-        return self.spark.read.schema(OPS).parquet(f"{self.store.folder.path}/{name}")
+    def _resolved(self, rows: DataFrame) -> tuple[str, DataFrame]:
+        """A statement's rows, written once; checks and the log read them from there."""
+        path = f"{self._folder}/{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.store.folder.path}/{path}")
+        return path, self.spark.read.schema(rows.schema).parquet(f"{self.store.folder.path}/{path}")
+
+    def _log(self, path: str) -> None:
+        self._logs.append(path)
+        self._seq += 2
+
+    def _step(self, op: str, at: int = 0):
+        return F.lit(self._seq + at).cast("long").alias("seq"), F.lit(op).alias("op")
+
+    def _refuse_bad(self, rows: DataFrame, message: str = "keys twice in one statement") -> None:
+        """Refuse nulls and repeated keys, in one pass."""
+        found = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("v").isNull()).alias("null_v")).where("k is null or null_v > 0 or n > 1")
+        bad = found.orderBy("k").limit(NAMED).collect()
+        if any(r.k is None or r.null_v for r in bad):
+            raise NullValue("null key or value")
+        if bad:
+            raise UniqueViolation(message, [r.k for r in bad])
 
     def _live(self) -> DataFrame:
         """Keys that this transaction has written and not deleted."""
@@ -271,20 +284,20 @@ class Transaction:
 
     def insert(self, rows: DataFrame | list) -> None:
         self._check_open()
-        rows = rows_of(self.spark, rows)
-        refuse_nulls(rows)
-        self._refuse(dml.duplicates(rows), UniqueViolation, "keys twice in one statement")
+        path, written = self._resolved(rows_of(self.spark, rows).select(*self._step("INS"), "k", "v"))
+        self._refuse_bad(written)
         if self._logs:
-            self._refuse(dml.existing(self._live(), rows), UniqueViolation, "keys are there in this transaction")
-        self._append(rows.withColumn("op", F.lit("INS")))
+            self._refuse(dml.existing(self._live(), written), UniqueViolation, "keys are there in this transaction")
+        self._log(path)
 
     def update(self, where: Column, value: Column) -> None:
-        rows = self.scan().where(where).select(F.lit("UPD").alias("op"), "k", value.cast("long").alias("v"))
-        refuse_nulls(rows)
-        self._append(rows)
+        rows = self.scan().where(where).select(*self._step("UPD"), "k", value.cast("long").alias("v"))
+        path, written = self._resolved(rows)
+        refuse_nulls(written)
+        self._log(path)
 
     def delete(self, where: Column) -> None:
-        self._append(self.scan().where(where).select(F.lit("DEL").alias("op"), "k", F.lit(None).cast("long").alias("v")))
+        self._log(self._resolved(self.scan().where(where).select(*self._step("DEL"), "k", F.lit(None).cast("long").alias("v")))[0])
 
     def rename(self, where: Column, key: Column, value: Column | None = None) -> None:
         """Change keys, and values with them if one is given; both are computed from the old row.
@@ -293,18 +306,19 @@ class Transaction:
         """
         value = F.col("v") if value is None else value
         rows = self.scan().where(where).select(F.col("k").alias("old_k"), key.cast("long").alias("k"), value.cast("long").alias("v"))
-        refuse_nulls(rows)
-        moved = rows.where("old_k <> k")
+        _, rows = self._resolved(rows)
+        moved = rows.where("k is null or old_k <> k")
+        self._refuse_bad(rows if self.allow_overlap else moved)
         if not self.allow_overlap:
             self._refuse(dml.rename_overlaps(moved.withColumnRenamed("k", "new_k")), UnsupportedRename, "keys are both old and new")
-        new = moved.select("k", "v")
-        self._refuse(dml.duplicates(new), UniqueViolation, "keys twice in one statement")
         if self._logs:
             live = self._live().join(moved.select(F.col("old_k").alias("k")), "k", "left_anti")
-            self._refuse(dml.existing(live, new), UniqueViolation, "keys are there in this transaction")
-        stay = rows.where("old_k = k").select(F.lit("UPD").alias("op"), "k", "v")
-        gone = moved.select(F.lit("DEL").alias("op"), F.col("old_k").alias("k"), F.lit(None).cast("long").alias("v"))
-        self._append(stay.unionByName(gone), new.select(F.lit("INS").alias("op"), "k", "v"))
+            self._refuse(dml.existing(live, moved), UniqueViolation, "keys are there in this transaction")
+        stay = rows.where("old_k = k").select(*self._step("UPD"), "k", "v")
+        gone = moved.select(*self._step("DEL"), F.col("old_k").alias("k"), F.lit(None).cast("long").alias("v"))
+        path, written = self._resolved(stay.unionByName(gone).unionByName(moved.select(*self._step("INS", 1), "k", "v")))
+        refuse_nulls(written.where("op <> 'DEL'"))
+        self._log(path)
 
     # ends
 
@@ -326,7 +340,8 @@ class Transaction:
         try:
             if not self._logs:
                 return self.version
-            self._refuse(violations(self.base, self.ops), UniqueViolation, "keys are there")
+            if self.store.manifest(self.version)["base"] is not None:  # else the statements' checks are enough
+                self._refuse(violations(self.base, self.ops), UniqueViolation, "keys are there")
             return self.store.commit_delta(net_effect(self.ops), self.version)
         finally:
             self.rollback()
