@@ -26,10 +26,10 @@ CENTRES = 16
 SAMPLE = 8192
 #: The share of a vector's length from which inner products count, in the loss.
 THRESHOLD = 0.2
-#: Vectors that are scanned at once.
-BLOCK = 8192
-#: Queries that go out at once, by broadcast; more go in several rounds.
-QUERY_BATCH = 32768
+#: Bytes of vectors that are scanned at once.
+BLOCK_BYTES = 4 << 20
+#: Bytes of queries that go out at once, by broadcast; more go in several rounds.
+QUERY_BYTES = 16 << 20
 #: Queries that are scanned at once.
 QUERY_BLOCK = 128
 #: Candidates of each block that are scored exactly, for each neighbour asked for.
@@ -118,7 +118,7 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 @dataclass
 class Index:
-    blocks: DataFrame  # n, ids, codes, vectors: packed arrays of up to BLOCK rows
+    blocks: DataFrame  # n, ids, codes, vectors: packed arrays of about BLOCK_BYTES of vectors
     books: Codebooks | None
 
 
@@ -153,7 +153,7 @@ def build(df: DataFrame, key: str, vector: str) -> Index:
         for batch in batches:
             if batch.num_rows:
                 held.append(batch)
-            if sum(b.num_rows for b in held) >= BLOCK:
+            if sum(b.num_rows for b in held) * dim * 8 >= BLOCK_BYTES:
                 yield out()
                 held = []
         if held:
@@ -224,7 +224,7 @@ def search(index: Index, queries: DataFrame, key: str, vector: str, k: int = 20)
     books = spark.sparkContext.broadcast(index.books)
     dim = index.books.dim
     asked = queries.where(F.col(key).isNotNull() & usable(vector)).where(F.size(vector) == dim).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).dropDuplicates(["id"])
-    batches = -(-asked.count() // QUERY_BATCH)
+    batches = -(-asked.count() * dim * 8 // QUERY_BYTES)
     best = none.drop("rank")
     for n in range(batches):
         batch = asked.where(F.pmod(F.xxhash64("id"), F.lit(batches)) == n).toArrow()

@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from urllib.parse import urlparse
 
 import numpy as np
@@ -27,6 +28,8 @@ from .common import bound_batches, mix, scratch_path, word_hashes
 END = np.uint64(0xE17A1465)
 #: Tokens that a task counts before it hands on what it has.
 CHUNK_TOKENS = 2_000_000
+#: Files that a worker maps at once.
+MAPS = 8192
 _ID_BITS = np.uint64(32)
 _ID_MASK = np.uint64((1 << 32) - 1)
 
@@ -173,21 +176,16 @@ class Model:
 
 
 class Arrays:
-    """A model's files, mapped by one worker."""
-
-    def __init__(self, model: Model, counted: bool = True):
-        self.m, f = model, model.folder
-        self.words = [_map(f"{f}/word-{i}", np.uint64) for i in range(model.shards)]
-        self.counts = [_map(f"{f}/count-{i}", np.uint64) for i in range(model.shards)]
-        if counted:
-            self.hashes = [_map(f"{f}/hash-{i}", np.uint64) for i in range(model.shards)]
-            self.times = [_map(f"{f}/times-{i}", np.uint32) for i in range(model.shards)]
-            self.stats = [_map(f"{f}/stats-{i}", np.uint64).reshape(-1, 5) for i in range(model.shards)]
-
-    def _find(self, sorted_hashes: np.ndarray, arrays: list[np.ndarray]) -> Iterator[tuple[slice, int, np.ndarray, np.ndarray]]:
+    """A model's files, mapped by one worker as they are needed; a process can hold only so many maps."""
+
+    def __init__(self, model: Model):
+        self.m = model
+        self.of = lru_cache(MAPS)(lambda name, i: _map(f"{model.folder}/{name}-{i}", np.uint32 if name == "times" else np.uint64))
+
+    def _find(self, sorted_hashes: np.ndarray, name: str) -> Iterator[tuple[slice, int, np.ndarray, np.ndarray]]:
         cuts = np.searchsorted(shard_of(sorted_hashes, self.m.shards), np.arange(self.m.shards + 1, dtype=np.uint64))
         for i in np.flatnonzero(np.diff(cuts)):
-            own, known = sorted_hashes[cuts[i] : cuts[i + 1]], arrays[i]
+            own, known = sorted_hashes[cuts[i] : cuts[i + 1]], self.of(name, int(i))
             at = np.searchsorted(known, own)
             hit = np.zeros(len(own), bool)
             inside = at < len(known)
@@ -197,15 +195,15 @@ class Arrays:
     def ids(self, sorted_hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids and training counts of distinct, sorted words."""
         ids, counts = np.full(len(sorted_hashes), self.m.v, np.uint64), np.zeros(len(sorted_hashes), np.uint64)
-        for part, i, at, hit in self._find(sorted_hashes, self.words):
+        for part, i, at, hit in self._find(sorted_hashes, "word"):
             ids[part][hit] = at[hit].astype(np.uint64) + np.uint64(self.m.starts[i])
-            counts[part][hit] = self.counts[i][at[hit]]
+            counts[part][hit] = self.of("count", i)[at[hit]]
         return ids, counts
 
     def times_of(self, sorted_hashes: np.ndarray) -> np.ndarray:
         out = np.zeros(len(sorted_hashes), np.uint64)
-        for part, i, at, hit in self._find(sorted_hashes, self.hashes):
-            out[part][hit] = self.times[i][at[hit]]
+        for part, i, at, hit in self._find(sorted_hashes, "hash"):
+            out[part][hit] = self.of("times", i)[at[hit]]
         return out
 
     def stats_of(self, ids: np.ndarray) -> np.ndarray:
@@ -214,8 +212,8 @@ class Arrays:
         shard = ids * np.uint64(self.m.shards) // np.uint64(self.m.v + 2)
         cuts = np.searchsorted(shard, np.arange(self.m.shards + 1, dtype=np.uint64))
         for i in np.flatnonzero(np.diff(cuts)):
-            if len(self.stats[i]):
-                out[cuts[i] : cuts[i + 1]] = self.stats[i][(ids[cuts[i] : cuts[i + 1]] - np.uint64(id_range(i, self.m)[0])).astype(np.int64)]
+            if len(stats := self.of("stats", int(i)).reshape(-1, 5)):
+                out[cuts[i] : cuts[i + 1]] = stats[(ids[cuts[i] : cuts[i + 1]] - np.uint64(id_range(i, self.m)[0])).astype(np.int64)]
         return out
 
 
@@ -285,7 +283,7 @@ def fit(df: DataFrame, text: str = "text", folder: str | None = None, shards: in
     plan = model  # as far as the workers need it
 
     def count_pairs(batches):
-        arrays = Arrays(plan, counted=False)
+        arrays = Arrays(plan)
         for chunk, sizes in _chunks(batches):
             keys, n = np.unique(_pairs(chunk, sizes, arrays)[0], return_counts=True)
             yield _batch(_blob_rows(0, shard_of(mix(keys), shards), [keys, n]))
