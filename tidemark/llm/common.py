@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: make batches of about 1 MB, so a worker's memory is bounded by a few of its
 #: longest documents.
 BATCH_ROWS = 256
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,7 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Small Arrow batches for the Python operators of this session."""
+    """Small Arrow batches for the Python operators of this session, whose workers import this package from where the driver has it."""
+    path = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if ROOT not in path:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([*filter(None, path), ROOT])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
