@@ -1,0 +1,56 @@
+"""The pipeline, stage by stage, each held against plain Python on what the stage before it kept."""
+
+import zstandard
+
+import corpus_pipeline
+from tests.conftest import SF
+from tests.llm.test_texts import brute_components, brute_sets
+from tests.llm.test_tokens import segmenter
+from tidemark.llm import langid
+from tidemark.llm.quality import LEVEL, measures
+
+
+def test_stages(spark, folder):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns, kept = docs.columns, {}
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = docs
+        stage(spark, docs, SF).write.parquet(f"{folder}/{i}")
+        docs = spark.read.parquet(f"{folder}/{i}")
+        if name != "sentencepiece":
+            assert docs.columns == columns
+        kept[name] = before.collect(), docs.collect()
+    ids = lambda rows: sorted(r.doc_id for r in rows)
+
+    was, now = kept["quality rules"]
+    squeeze = zstandard.ZstdCompressor(level=LEVEL).compress
+    assert 0 < len(now) < len(was)
+    assert ids(now) == ids(r for r in was if measures(r.text, squeeze)[-1])
+
+    was, now = kept["language id"]
+    model = langid.fit(spark.createDataFrame([(r.text, r.lang) for r in was], "text string, lang string"))
+    whole, chosen, _ = langid.infer(model, [r.text for r in was])
+    stay = [r for r, a, b in zip(was, whole, chosen) if b.any() and min(1.0, float(a[b.argmax()])) >= corpus_pipeline.LANGUAGE_SHARE]
+    assert ids(now) == ids(stay) and len(now) > 0.97 * len(was)
+
+    was, now = kept["near duplicates"]
+    roots = brute_components([r.doc_id for r in was], brute_sets([r.text for r in was], 5), 80)
+    assert ids(now) == sorted(set(roots.values())) and len(now) < len(was)
+
+    was, now = kept["mixture"]
+    assert sorted(map(tuple, was)) == sorted(map(tuple, now))
+
+    was, now = kept["sentencepiece"]
+    texts = {r.doc_id: r.text for r in was}
+    assert ids(now) == ids(was)
+    for r in now:
+        assert list(r.ids) == segmenter().encode(texts[r.doc_id]) and r.n_tokens == len(r.ids)
+        assert r.round_trip and segmenter().decode(list(r.ids)) == texts[r.doc_id]
+
+
+def test_run_and_nothing(spark):
+    out = corpus_pipeline.run(spark, SF)
+    assert out.count() > 0
+    empty = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, SF).collect() == []
