@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed
 
+#: Up to so many edges, the nodes' minima are broadcast to the edges; beyond, both are shuffled.
+BROADCAST_EDGES = 250_000
+
 
 def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``root`` (the smallest node that it reaches) for each end of the edges ``a``, ``b``.
@@ -17,18 +20,19 @@ def components(edges: DataFrame) -> DataFrame:
     so a node with very many edges is as good as any other.  It ends when a
     round changes nothing; rounds are checkpointed.  Loops are ignored.
     """
+    seen = lambda df: df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     now = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = None
-    while True:
+    state = seen(now)
+    while state.n:
+        to_all = F.broadcast if state.n <= BROADCAST_EDGES else lambda df: df
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.join(to_all(least), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
+        small = down.join(to_all(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
         now = checkpointed(small.where("a <> b").distinct())
-        seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if seen == state:
+        before, state = state, seen(now)
+        if state == before:
             break
-        state = seen
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
