@@ -27,7 +27,7 @@ UNIT = 16
 UNKNOWN_PENALTY = 10 * UNIT
 NONE = -(1 << 60)
 #: Segments whose result a worker remembers before it starts afresh.
-MEMORY = 800_000
+MEMORY = 400_000
 #: A count and a score in one number, so that a text's are one sum.
 SCORE_BITS = 44
 _LOW = (1 << SCORE_BITS) - 1
