@@ -80,3 +80,23 @@ def test_parallel_residuals_shrink():
 
     nearest = np.stack([((v[:, j, None] - books.centres[j]) ** 2).sum(2).argmin(1) for j in range(v.shape[1])], 1)
     assert along(books.encode(x)) < along(nearest)
+
+
+def test_full_block_with_thousands_of_near_copies():
+    """Near copies share their codes, so rough scores cannot tell them apart."""
+    n, dim, k = ann.BLOCK_BYTES // (64 * 8), 64, 20
+    for copies, noise in ((n // 3, 0.001), (n // 3, 0.02), (1000, 0.01), (0, 0.0)):
+        rng = np.random.default_rng(copies)
+        x = rng.normal(size=(n, dim)).astype(np.float32)
+        x[:copies] = x[0] * (1 + noise * rng.normal(size=(copies, dim)))
+        x, ids = x[rng.permutation(n)].astype(np.float64), np.arange(n)
+        books = ann.fit(x)
+        codes = books.encode(x)
+        packed = codes[:, 0::2] | codes[:, 1::2] << 4
+        asked = rng.permutation(n)[:60]
+        place, got, score = ann.scan(books, ids, packed, x, asked, x[asked], k)
+        for i, query in enumerate(asked):
+            exact = ann.exact(x, x[query][None], ids[None])[0]
+            want = [j for j in np.lexsort((ids, -exact)) if j != query][:k]
+            assert got[place == i].tolist() == want
+            assert score[place == i].tolist() == exact[want].tolist()

@@ -5,7 +5,9 @@ by a codebook of 16 centres.  Codes and centres minimise a loss in which the
 part of the residual that is parallel to the vector weighs more than the rest:
 that part moves large inner products, which alone matter.  A query's table
 holds its inner product with every centre; a scan adds table entries by code.
-The best of a scan are scored again on the original vectors.
+The best of a scan are scored again on the original vectors, and so is every
+other row whose rough score, with all that its code may have left out of it,
+reaches the last of them: what a block returns are its true nearest rows.
 """
 
 from __future__ import annotations
@@ -32,7 +34,9 @@ BLOCK_BYTES = 4 << 20
 QUERY_BYTES = 16 << 20
 #: Queries that are scanned at once.
 QUERY_BLOCK = 128
-#: Candidates of each block that are scored exactly, for each neighbour asked for.
+#: Scores that are held at once.
+CELLS = 1 << 20
+#: Candidates of each block that are scored first, for each neighbour asked for; the rest follow as far as the bounds tell.
 SHORTLIST = 16
 
 
@@ -68,6 +72,15 @@ class Codebooks:
                 along[:, j] = new
         return codes
 
+    def left(self, packed: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """The length of the residual of each vector with its packed codes."""
+        codes = np.stack([packed & 15, packed >> 4], 2).reshape(len(packed), -1)
+        v, total = self.pairs(x), np.zeros(len(x))
+        for j, centres in enumerate(self.centres):
+            r = v[:, j] - centres[codes[:, j]]
+            total += (r * r).sum(1)
+        return np.sqrt(total)
+
 
 def fit(x: np.ndarray, rounds: int = 4, seed: int = 5) -> Codebooks:
     """Codebooks for vectors like the rows of ``x``: k-means for a start, then codes and centres in turn."""
@@ -180,15 +193,25 @@ def _early(x: np.ndarray, most: int) -> np.ndarray:
 
 
 def scan(books: Codebooks, ids: np.ndarray, packed: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of queries, ids and scores of up to ``k`` neighbours of each within one block, rows in order of id."""
+    """Places of queries, ids and scores of the ``k`` nearest rows of each within one block, rows in order of id.
+
+    A rough score errs by no more than the lengths of the query and of the
+    row's residual, multiplied.  All rows that may reach the ``k``-th best
+    exact score of the shortlist, by that, are scored again.
+    """
     rows = _early(x, k + 1)
     ids, packed, x = ids[rows], packed[rows], x[rows]
     take = min(len(ids), k * SHORTLIST + 1)
     codes = packed.T.astype(np.int64)
+    length, left = np.linalg.norm(x, axis=1), books.left(packed, x)
+    reach = left + (books.dim + 8) * 2.0**-23 * (length + left)  # with the rounding of single precision
+    rounding = books.dim * 2.0**-50 * length.max(initial=0.0)
+    step = max(1, min(QUERY_BLOCK, CELLS // max(1, len(ids))))
     found = []
-    for a in range(0, len(q), QUERY_BLOCK):
-        part = q[a : a + QUERY_BLOCK]
-        table = np.einsum("qjd,jcd->qjc", books.pairs(part.astype(np.float32)), books.centres)
+    for a in range(0, len(q), step):
+        part, own = q[a : a + step], ids == query_ids[a : a + step, None]
+        size = np.linalg.norm(part, axis=1)[:, None]
+        table = np.einsum("qjd,jcd->qjc", books.pairs((part / size).astype(np.float32)), books.centres)
         table = np.pad(table, ((0, 0), (0, table.shape[1] % 2), (0, 0)))
         both = (table[:, 1::2, :, None] + table[:, 0::2, None, :]).reshape(len(part), -1, CENTRES * CENTRES)
         rough = np.zeros((len(part), len(ids)), np.float32)
@@ -196,17 +219,25 @@ def scan(books: Codebooks, ids: np.ndarray, packed: np.ndarray, x: np.ndarray, q
             rough += np.take(both[:, j], code, axis=1)
         at = np.argpartition(-rough, take - 1, axis=1)[:, :take] if take < len(ids) else np.tile(np.arange(len(ids)), (len(part), 1))
         score = exact(x, part, at)
-        own = ids[at] == query_ids[a : a + QUERY_BLOCK, None]
-        score[own] = -np.inf
-        order = np.lexsort((ids[at], -score), axis=1)[:, :k]
-        at, score, own = (np.take_along_axis(y, order, 1) for y in (at, score, own))
-        place = np.repeat(np.arange(a, a + len(part)), order.shape[1]).reshape(order.shape)
-        found.append((place[~own], ids[at][~own], score[~own]))
+        score[np.take_along_axis(own, at, 1)] = -np.inf
+        least = np.sort(score, axis=1)[:, -k, None] if take >= k else -np.inf
+        near = ~((rough + reach) * size < least) & ~own
+        need = np.flatnonzero(near.any(0))
+        near = near[:, need]
+        score = np.where(near, part @ x[need].T, -np.inf)
+        if len(need) > k:
+            near &= ~(score < np.partition(score, len(need) - k, axis=1)[:, len(need) - k, None] - rounding * size)
+        place, at = np.nonzero(near)
+        at = need[at]
+        score = exact(x, part[place], at[:, None])[:, 0]
+        order = np.lexsort((ids[at], -score, place))
+        order = order[np.arange(len(order)) - np.searchsorted(place, place) < k]
+        found.append((a + place[order], ids[at[order]], score[order]))
     return tuple(map(np.concatenate, zip(*found)))
 
 
 def search(index: Index, queries: DataFrame, key: str, vector: str, k: int = 20) -> DataFrame:
-    """``query_id``, ``rank`` (from 1), ``vec_id`` and ``score``: the ``k`` nearest rows found for each usable query, all if there are fewer.
+    """``query_id``, ``rank`` (from 1), ``vec_id`` and ``score``: the ``k`` nearest rows for each usable query, all if there are fewer.
 
     Nearness is the inner product of the original vectors in double precision,
     ties go to the smaller id, and rows with the query's id are left out.  All
