@@ -95,6 +95,22 @@ def test_compression_bands(spark):
     assert quality(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_junk_in_the_second_half(spark):
+    """The rest of a text after its full chunks is judged like them."""
+    rng = random.Random(5)
+    words = "the of and cat tree house river green walks under over many small words about nothing here".split()
+    prose = "".join(" " + rng.choice(words) + rng.choice(["", "s", "ed", "ing", "ly"]) + rng.choice(["", ",", "."]) for _ in range(3000))
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
+    noise = " ".join("".join(rng.choice(letters) for _ in range(76)) for _ in range(60))[:3900]
+    spam = " ".join(f"buy cheap pills now {i}" for i in range(300))[:3900]
+    halves = [prose[:4096] + x for x in (noise, spam, prose[5000:8900])] + [prose[:12288] + noise, prose[:4097]]
+    got = {r.doc_id: r for r in quality(spark.createDataFrame(list(enumerate(halves)), "doc_id long, text string")).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert [got[i].kept for i in range(5)] == [False, False, True, True, True]
+    assert [got[i].rest_bad for i in range(5)] == [True, True, False, True, False]
+    assert [(got[i].n_chunks, got[i].n_bad_chunks) for i in range(5)] == [(1, 0), (1, 0), (1, 0), (3, 0), (1, 0)]
+
+
 def test_languages(spark, docs):
     rows, df = docs
     df = df.withColumn("held_out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2)

@@ -40,7 +40,7 @@ WINDOW_WORDS = 8
 MAX_REPEAT_PERCENT = 30
 
 _SYMBOLS = b"#*$%&|<>"
-SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, ratio double, chunk_ratio_min double, chunk_ratio_max double, n_chunks long, n_bad_chunks long, kept boolean"
+SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, ratio double, chunk_ratio_min double, chunk_ratio_max double, n_chunks long, n_bad_chunks long, rest_ratio double, rest_bad boolean, kept boolean"
 
 
 def repeat_words(words: list[bytes]) -> int:
@@ -82,17 +82,22 @@ def measures(text: str | None, squeeze, bands: tuple[Band, ...] = BANDS, chunk_b
     ratio = len(squeeze(raw)) / len(raw) if raw else 1.0
     limits = band(len(raw), bands)
     kept = not failed and limits.low <= ratio <= limits.high
-    ratios, bad = [], 0
-    for at in range(0, len(raw), chunk_bytes):
-        part = raw[at : at + chunk_bytes]
-        if len(part) < chunk_bytes and at:  # the rest of a longer text: too short to judge beside full chunks
-            break
+    ratios, bad, rest, rest_bad = [], 0, None, False
+    starts = list(range(0, len(raw), chunk_bytes))
+    if len(starts) > 1 and len(raw) - starts[-1] < min((b.at_least for b in bands if b.at_least), default=0):
+        starts.pop()  # too short for a band of its own: part of the chunk before it
+    for at, upto in zip(starts, [*starts[1:], len(raw)]):
+        part = raw[at:upto]
         r = ratio if len(part) == len(raw) else len(squeeze(part)) / len(part)
         limits = band(len(part), bands)
-        ratios.append(r)
-        bad += not limits.low <= r <= limits.high
-    kept = kept and bad < max(1, BAD_CHUNKS * len(ratios))
-    return n, word_chars, len(solid) - len(solid.translate(None, _SYMBOLS)), dup_lines(raw), repeated, failed, ratio, min(ratios, default=None), max(ratios, default=None), len(ratios), bad, kept
+        out = not limits.low <= r <= limits.high
+        if len(part) < chunk_bytes and at:  # the rest of a longer text
+            rest, rest_bad = r, out
+        else:
+            ratios.append(r)
+            bad += out
+    kept = kept and bad + rest_bad < max(1, BAD_CHUNKS * (len(ratios) + (rest is not None)))
+    return n, word_chars, len(solid) - len(solid.translate(None, _SYMBOLS)), dup_lines(raw), repeated, failed, ratio, min(ratios, default=None), max(ratios, default=None), len(ratios), bad, rest, rest_bad, kept
 
 
 def quality(df: DataFrame, text: str = "text", keep: list[str] | None = None, bands: tuple[Band, ...] = BANDS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -102,8 +107,12 @@ def quality(df: DataFrame, text: str = "text", keep: list[str] | None = None, ba
     counts as empty: no words, base_failed, not kept.  Texts under MIN_WORDS
     words, or with over MAX_REPEAT_PERCENT percent of their words in repeated
     windows, fail the base rules; the others are kept if the whole text's ratio
-    is within the band of its length and fewer than BAD_CHUNKS of its full
-    chunks are outside theirs.  Repeated rows get the same values.  A column of
+    is within the band of its length and fewer than BAD_CHUNKS of its chunks
+    are outside theirs.  What is left of a text after its full chunks is a
+    chunk too, under the band of its own length; its ratio has columns of its
+    own, and the others are of full chunks (or of a text shorter than one).
+    A rest that is too short for a band with limits (128 bytes) belongs to the
+    chunk before it.  Repeated rows get the same values.  A column of
     ``df`` with the name of a measure is replaced.
     """
     bound_batches(df.sparkSession)
@@ -114,7 +123,7 @@ def quality(df: DataFrame, text: str = "text", keep: list[str] | None = None, ba
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=LEVEL).compress
-        types = [pa.int64()] * 5 + [pa.bool_()] + [pa.float64()] * 3 + [pa.int64()] * 2 + [pa.bool_()]
+        types = [pa.int64()] * 5 + [pa.bool_()] + [pa.float64()] * 3 + [pa.int64()] * 2 + [pa.float64()] + [pa.bool_()] * 2
         for batch in batches:
             rows = [measures(t.as_py(), squeeze, bands, chunk_bytes) for t in batch.column(len(keep))]
             columns = list(zip(*rows)) or [[]] * len(own)
