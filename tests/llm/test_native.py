@@ -2,6 +2,7 @@
 
 import math
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -90,6 +91,24 @@ def test_phases_place_all_blocks_once():
     assert sorted(seen.values()) == [(i, b) for i, n in enumerate(blocks) for b in range(n)]
 
 
+def test_given_weights_on_long_schedules():
+    """Less than one block from the given weights, at any time."""
+    for weights, blocks in (
+        ([1.0] * 3, [14_000] * 3),
+        ([0.5, 0.3, 0.2], [21_000, 13_000, 9_000]),
+        ([n**0.5 for n in (9e5, 5e5, 3e5, 2e5, 7e4, 1e4)], [20_000] * 6),
+        ([1e-5, 0.5, 0.49999], [10, 15_000, 15_000]),
+        ([1000.0] + [1.0] * 1000, [5000] + [6] * 1000),
+    ):
+        p = phases(blocks, weights)[0]
+        total, q = sum(map(Fraction, weights)), len(set().union(*p.slots.values()))
+        assert q == sum(p.count.values()) >= 5000
+        for i, slots in p.slots.items():
+            w = Fraction(weights[i]) / total
+            assert all(abs(j - s * w) < 1 and abs(j + 1 - (s + 1) * w) < 1 for j, s in enumerate(slots))
+            assert abs(len(slots) - q * w) < 1
+
+
 def brute_edf(share, quantum, slots, left):
     """Earliest deadline first, slot by slot."""
     had, out = [0] * len(share), []

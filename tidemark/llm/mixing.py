@@ -5,15 +5,20 @@ source with weight w is released at floor(j / w) and due at ceil((j + 1) / w);
 earliest deadline first then meets every deadline, so that after any number t
 of slots a source has had t * w blocks to within less than one.
 
-With weights in whole parts of a quantum Q, the schedule repeats itself every
-Q slots.  The driver schedules one period alone; the place of any block
-follows from it by arithmetic, in DataFrame operations.
+Weights are taken as they are, as fractions, so the bound holds against the
+given weights after any number of slots.  The driver schedules the blocks of a
+phase, of 64 rows each; the place of a row follows by arithmetic, in DataFrame
+operations.  With weights rounded to whole parts of a quantum Q, where one is
+given, the schedule repeats itself every Q slots and the driver has one period
+alone, but the error against the given weights grows with the slots.
 """
 
 from __future__ import annotations
 
 import heapq
 from dataclasses import dataclass
+from fractions import Fraction
+from math import lcm
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +26,6 @@ from pyspark.sql import functions as F
 from .ranking import BROADCAST_ROWS, ranked
 
 BLOCK_ROWS = 64
-QUANTUM = 4096
 
 
 def parts(weights: list[float], quantum: int) -> list[int]:
@@ -57,6 +61,27 @@ def period(a: list[int]) -> list[list[int]]:
     return slots
 
 
+def until_one_ends(weights: list[float], left: list[int]) -> list[list[int]]:
+    """For each source, the slots of its blocks up to the last block of one of them, by the exact weights."""
+    exact = [Fraction(w) for w in weights]
+    scale = lcm(*(w.denominator for w in exact))
+    a = [int(w * scale) for w in exact]
+    q, t = sum(a), 0
+    slots: list[list[int]] = [[] for _ in a]
+    waiting = [(0, i) for i in range(len(a))]  # by release
+    ready: list[tuple[int, int]] = []  # by deadline
+    while True:
+        while waiting and waiting[0][0] <= t:
+            _, i = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(len(slots[i]) + 1) * q // a[i]), i))
+        _, i = heapq.heappop(ready)
+        slots[i].append(t)
+        if (j := len(slots[i])) == left[i]:
+            return slots
+        heapq.heappush(waiting, (j * q // a[i], i))
+        t += 1
+
+
 @dataclass
 class Phase:
     """Sources that all still have blocks, on one schedule; it ends with the last block of one of them."""
@@ -69,7 +94,7 @@ class Phase:
     ends: int  # the source that has no more blocks after it
 
 
-def phases(blocks: list[int], weights: list[float], quantum: int = QUANTUM) -> list[Phase]:
+def phases(blocks: list[int], weights: list[float], quantum: int | None = None) -> list[Phase]:
     """The schedule of all blocks of all sources: as one runs out, the others go on in proportion to their weights."""
     left, had, out, start = dict(enumerate(blocks)), dict.fromkeys(range(len(blocks)), 0), [], 0
     left = {i: n for i, n in left.items() if n}
@@ -80,10 +105,15 @@ def phases(blocks: list[int], weights: list[float], quantum: int = QUANTUM) -> l
         else:
             live = [i for i in live if weights[i] > 0]
             share = [weights[i] for i in live]
-        a = parts(share, max(quantum, 4 * len(live)))
-        q, slots = sum(a), period(a)
+        if quantum is None:
+            slots = until_one_ends(share, [left[i] for i in live])
+            a = [len(x) for x in slots]
+            q = sum(a)
+        else:
+            a = parts(share, max(quantum, 4 * len(live)))
+            q, slots = sum(a), period(a)
         last = lambda k: (left[live[k]] - 1) // a[k] * q + slots[k][(left[live[k]] - 1) % a[k]]  # noqa: E731, B023
-        k = min(range(len(live)), key=last)
+        k = min((k for k in range(len(live)) if a[k] and (quantum or a[k] == left[live[k]])), key=last)
         length = last(k) + 1
         rest = length % q
         count = {i: length // q * a[m] + sum(s < rest for s in slots[m]) for m, i in enumerate(live)}
@@ -96,13 +126,14 @@ def phases(blocks: list[int], weights: list[float], quantum: int = QUANTUM) -> l
     return out
 
 
-def mix(df: DataFrame, key: str, source: str, weights: dict | None = None, temperature: float = 0.5, block_rows: int = BLOCK_ROWS, quantum: int = QUANTUM, seed: int = 23) -> DataFrame:
+def mix(df: DataFrame, key: str, source: str, weights: dict | None = None, temperature: float = 0.5, block_rows: int = BLOCK_ROWS, quantum: int | None = None, seed: int = 23) -> DataFrame:
     """Put all rows in an order that follows the sources' target weights at every point.
 
     ``weights`` has a positive weight for each source; without it the weights
     are the row counts to the power ``temperature``.  The rows of a source are
     shuffled by a seed and cut into blocks of ``block_rows``.  While all sources
-    last, each has its share of the slots to within less than one block; when
+    last, each has its share of the slots to within less than one block (with a
+    ``quantum``: its share in whole parts of that, one at least); when
     one runs out, the same holds of the others among themselves (a new phase).
     No row is dropped or repeated.  Sources without a weight come after the
     others, in proportion to their sizes.
@@ -110,8 +141,9 @@ def mix(df: DataFrame, key: str, source: str, weights: dict | None = None, tempe
     Adds ``block`` (of the source), ``phase``, ``slot`` and ``position`` (long,
     gapless from 0 over all rows).  A null source is a source of its own;
     repeated rows are placed like distinct ones; an empty table gives no rows.
-    The driver holds the sources' counts and, for each phase, one period of at
-    most max(quantum, 4 * sources) slots; neither grows with the rows.
+    The driver holds the sources' counts and one slot for each block, that is
+    for every ``block_rows`` rows; with a quantum, it holds for each phase one
+    period of at most max(quantum, 4 * sources) slots, whatever the rows.
     """
     spark = df.sparkSession
     columns = [c for c in df.columns if c not in ("block", "phase", "slot", "position")]
