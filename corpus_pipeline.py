@@ -45,9 +45,10 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of every text."""
+    """The ids of every text, laid out like the mixture, with the place in it as ``position``: files and joins keep no order."""
     found = encode(docs, Vocabulary.read(PIECES), keep=["doc_id", "lang", "source"], verify=True)
-    return found.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
+    found, _ = stored(found.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip"), "stage")
+    return mixed(found, "doc_id", "source", position="position")
 
 
 STAGES = [

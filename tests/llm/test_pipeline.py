@@ -1,5 +1,7 @@
 """The pipeline, stage by stage, each held against plain Python on what the stage before it kept."""
 
+from collections import Counter
+
 import zstandard
 
 import corpus_pipeline
@@ -7,6 +9,7 @@ from tests.conftest import SF
 from tests.llm.test_texts import brute_components, brute_sets
 from tests.llm.test_tokens import segmenter
 from tidemark.llm import langid
+from tidemark.llm.mixing import BLOCK_ROWS, mix
 from tidemark.llm.quality import LEVEL, measures
 
 
@@ -54,3 +57,37 @@ def test_run_and_nothing(spark):
     empty = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).collect() == []
+
+
+def test_order_of_the_result(spark):
+    """Prefixes of the result follow the target weights, and it is in the order of its positions."""
+    rows = corpus_pipeline.run(spark, SF).collect()
+    assert [r.position for r in rows] == list(range(len(rows)))
+    counts = Counter(r.source for r in rows)
+    total = sum(n**0.5 for n in counts.values())
+    had, left = Counter(), dict(counts)
+    for t, r in enumerate(rows, 1):
+        had[r.source] += 1
+        left[r.source] -= 1
+        # one block from the target, and the one that is being filled
+        assert all(abs(had[x] - t * n**0.5 / total) < 2 * BLOCK_ROWS for x, n in counts.items())
+        if not left[r.source]:
+            break
+
+
+def test_order_of_many_blocks(spark, folder):
+    """Long texts, which take another way, keep their places as well."""
+    rows = [(i, ("word " * 14_000 if i % 97 == 0 else "a few words"), "en", f"s{min(i % 7, 3)}", 1) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    corpus_pipeline.mixture(spark, docs, SF).write.parquet(f"{folder}/mixture")
+    out = corpus_pipeline.tokens(spark, spark.read.parquet(f"{folder}/mixture"), SF).collect()
+    want = {r.doc_id: r.position for r in mix(docs.select("doc_id", "source"), "doc_id", "source").collect()}
+    assert [r.position for r in out] == list(range(4000)) and {r.doc_id: r.position for r in out} == want
+    counts = Counter(r.source for r in out)
+    total, had = sum(n**0.5 for n in counts.values()), Counter()
+    for t, r in enumerate(out, 1):
+        had[r.source] += 1
+        assert all(abs(had[x] - t * n**0.5 / total) < 2 * BLOCK_ROWS for x, n in counts.items())
+        if had[r.source] == counts[r.source]:
+            break
+    assert t > 20 * BLOCK_ROWS

@@ -178,8 +178,8 @@ def mix(df: DataFrame, key: str, source: str, weights: dict | None = None, tempe
     return rows.select(*[F.col(f"r.`{c}`") for c in columns], "block", F.col("__p.phase").alias("phase"), F.col("__slot").alias("slot"), position.alias("position"))
 
 
-def mixed(df: DataFrame, key: str, source: str, **options) -> DataFrame:
-    """All rows and columns of ``df``, laid out in the order of :func:`mix`.
+def mixed(df: DataFrame, key: str, source: str, position: str | None = None, **options) -> DataFrame:
+    """All rows and columns of ``df``, laid out in the order of :func:`mix`; ``position`` names a column for the place in it.
 
     Places are found on the key and source alone; whole rows move twice, to
     meet their places and to their partitions.  Rows with the same key and
@@ -192,4 +192,5 @@ def mixed(df: DataFrame, key: str, source: str, **options) -> DataFrame:
     rows = df.select("*", twin).alias("d")
     on = F.col(f"d.{key}").eqNullSafe(F.col(f"p.{key}")) & F.col(f"d.{source}").eqNullSafe(F.col(f"p.{source}")) & (F.col("d.__twin") == F.col("p.__twin"))
     laid = rows.join(placed, on).repartitionByRange(F.col("p.position")).sortWithinPartitions("p.position")
-    return laid.select(*[F.col(f"d.`{c}`") for c in df.columns])
+    place = [F.col("p.position").alias(position)] if position else []
+    return laid.select(*[F.col(f"d.`{c}`") for c in df.columns], *place)
