@@ -111,6 +111,20 @@ def test_junk_in_the_second_half(spark):
     assert [(got[i].n_chunks, got[i].n_bad_chunks) for i in range(5)] == [(1, 0), (1, 0), (1, 0), (3, 0), (1, 0)]
 
 
+def test_more_languages_than_four():
+    """Mixtures of up to seven of nine languages are found whole, as one text is in one language."""
+    rng = np.random.default_rng(3)
+    words = [["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(3, 9))) for _ in range(150)] for _ in range(9)]
+    prose = lambda i, n: " ".join(rng.choice(words[i], n))
+    counts = np.stack([np.bincount(langid.trigrams([prose(i, 4000)])[0], minlength=langid.BUCKETS) for i in range(9)], 1)
+    model = langid.Model([f"l{i}" for i in range(9)], ((counts + langid.SMOOTHING) / (counts.sum(0) + langid.SMOOTHING * langid.BUCKETS)).astype(np.float32))
+    sets = [[2], [0, 8], [1, 4, 6], [0, 2, 3, 5, 7], [1, 2, 3, 4, 5, 6, 8]]
+    whole, chosen, _ = langid.infer(model, [" ".join(prose(i, 250) for i in x) for x in sets])
+    for row, x in zip(chosen, sets):
+        assert np.flatnonzero(row).tolist() == x
+        assert np.allclose(row[x], 1 / len(x), atol=0.05)
+
+
 def test_languages(spark, docs):
     rows, df = docs
     df = df.withColumn("held_out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2)

@@ -23,10 +23,12 @@ from .common import bound_batches
 BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
 SMOOTHING = 0.05
+#: Rounds of expectation-maximisation between tests of convergence.
 ROUNDS = 8
+#: What a log likelihood may lack of its maximum: so much, and so much for each trigram (single precision).
+TOLERANCE, PER_TRIGRAM = 0.5, 1e-5
 #: Times half the logarithm of the trigrams: trigrams of a text depend on each other, so more than 1.
 PENALTY = 4.0
-MAX_LANGUAGES = 4
 UNDETERMINED = "und"
 
 
@@ -95,6 +97,8 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang") -> Model:
 def infer(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """By text: shares with all languages, shares in the chosen set, and the trigrams.
 
+    The sets tried are the languages of the largest shares, from one up to as
+    many as could still be better by the likelihood of all, less the penalty.
     Without letters, all shares are 0.
     """
     n, k = len(texts), len(model.languages)
@@ -108,34 +112,52 @@ def infer(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray
     docs = np.unique(owner)
 
     def em(owner, p, times, allowed):
-        """Shares and log likelihoods of the texts 0, 1 .. whose trigrams these are, with the languages ``allowed``."""
+        """Shares, log likelihoods and what these may lack, of the texts 0, 1 .. whose trigrams these are, with the languages ``allowed``.
+
+        A text whose largest factor of a share in a round is g lacks at most
+        its trigrams times log g of the maximum: each text goes on until that
+        is within the tolerance.
+        """
         starts = np.searchsorted(owner, np.arange(len(allowed)))
-        total = np.add.reduceat(times, starts)[:, None]
         shares = allowed / allowed.sum(1, keepdims=True)
-        for _ in range(ROUNDS):
-            r = p * shares[owner]
-            r *= (times / r.sum(1))[:, None]
-            shares = np.add.reduceat(r, starts) / total
-        fits = np.add.reduceat(times * np.log((p * shares[owner]).sum(1)), starts)
-        return shares, fits
+        lack = np.full(len(allowed), np.inf)
+        going, o, q, t = np.arange(len(allowed)), owner, p, times
+        while len(going):
+            at = np.searchsorted(o, np.arange(len(going)))
+            total = np.add.reduceat(t, at, dtype=np.float64)
+            s = shares[going]
+            for _ in range(ROUNDS):
+                before = s
+                r = q * s[o]
+                r *= (t / r.sum(1))[:, None]
+                s = (np.add.reduceat(r, at, dtype=np.float64) / total[:, None]).astype(np.float32)
+            grown = np.divide(s, before, out=np.ones_like(s), where=before > 0).max(1)
+            shares[going], lack[going] = s, total * np.log(np.maximum(grown, 1))
+            on = lack[going] > TOLERANCE + PER_TRIGRAM * total
+            if not on.all():
+                rows = on[o]
+                o, q, t = (np.cumsum(on) - 1)[o[rows]], q[rows], t[rows]
+                going = going[on]
+        fits = np.add.reduceat(times * np.log((p * shares[owner]).sum(1)), starts, dtype=np.float64)
+        return shares, fits, lack
 
     dense = np.searchsorted(docs, owner)
-    shares, fits = em(dense, p, times, np.ones((len(docs), k), np.float32))
-    alone = np.add.reduceat(times[:, None] * np.log(p), np.searchsorted(dense, np.arange(len(docs))))
+    shares, fits, lack = em(dense, p, times, np.ones((len(docs), k), np.float32))
+    alone = np.add.reduceat(times[:, None] * np.log(p), np.searchsorted(dense, np.arange(len(docs))), dtype=np.float64)
     fine = PENALTY * 0.5 * np.log(np.maximum(sizes[docs], 2))
     best = alone.max(1)
     picked = np.zeros_like(shares)
     picked[np.arange(len(docs)), alone.argmax(1)] = 1
-    # a set of more languages is at most as likely as all of them, and is fined once at least
-    open_ = np.flatnonzero(fits - fine > best)
     order = np.argsort(-shares, axis=1, kind="stable")
-    for m in range(2, min(k, MAX_LANGUAGES) + 1):
+    for m in range(2, k + 1):
+        # no set of m languages or more is likelier than all of them at their best, and it is fined m - 1 times at least
+        open_ = np.flatnonzero(fits + lack - (m - 1) * fine > best)
         if not len(open_):
             break
         allowed = np.zeros((len(open_), k), np.float32)
         np.put_along_axis(allowed, order[open_, :m], 1, 1)
         at = np.flatnonzero(np.isin(dense, open_))
-        s, f = em(np.searchsorted(open_, dense[at]), p[at], times[at], allowed)
+        s, f, _ = em(np.searchsorted(open_, dense[at]), p[at], times[at], allowed)
         better = f - (m - 1) * fine[open_] > best[open_]
         picked[open_[better]], best[open_[better]] = s[better], (f - (m - 1) * fine[open_])[better]
     whole[docs], chosen[docs] = shares, picked
