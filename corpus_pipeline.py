@@ -17,7 +17,7 @@ from tidemark.llm.quality import quality
 from tidemark.llm.sentencepiece_scan import encode
 from tidemark.llm.unigram import Vocabulary
 
-#: The least share of the main language in a document that stays.
+#: The least share, of all languages', of a document's own ones together, for it to stay.
 LANGUAGE_SHARE = 0.4
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -28,9 +28,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents of no language, or of so many that none has LANGUAGE_SHARE."""
-    found = langid.predict(docs, langid.fit(docs))
-    return found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LANGUAGE_SHARE)).select(*docs.columns)
+    """Drop documents of no language, or whose languages, one or more, have less than LANGUAGE_SHARE together."""
+    found = langid.predict(docs, langid.fit(docs), covered="__covered")
+    return found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("__covered") >= LANGUAGE_SHARE)).select(*docs.columns)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

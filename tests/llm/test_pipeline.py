@@ -91,3 +91,16 @@ def test_order_of_many_blocks(spark, folder):
         if had[r.source] == counts[r.source]:
             break
     assert t > 20 * BLOCK_ROWS
+
+
+def test_documents_in_three_languages_stay(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").where("lang is not null and n_chars >= 1500").orderBy("doc_id").collect()
+    of = {}
+    for r in rows:
+        of.setdefault(r.lang, []).append(r.text[:1500])
+    names = sorted(of)
+    assert len(names) >= 3
+    mixed = [(10**6 + i, "\n".join(of[names[(i + j) % len(names)]][i % len(of[names[(i + j) % len(names)]])] for j in range(3)), None, "s", 4502) for i in range(40)]
+    docs = spark.createDataFrame([tuple(r) for r in rows] + mixed, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.languages(spark, docs, SF).collect()}
+    assert {r[0] for r in mixed} <= kept
