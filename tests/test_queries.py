@@ -43,3 +43,30 @@ def test_filters_reach_the_scan(spark):
     over = overlay.overlay(stored, overlay.net_effect(log(spark)))
     text = plan(lookup.point_get(over, 5))
     assert "EqualTo(o_orderkey,5)" in text and "FullOuter" not in text
+
+
+def test_few_requests_do_not_move_the_table(spark):
+    """Each plan that meets a small batch filters the table where it lies."""
+    from tidemark.functions.schema import local
+    from tidemark.operators import batch, lookup, overlay
+    from tidemark.plans.catalogue import BAD_LOG, LOG, REQUESTS, log
+
+    stored = spark.read.parquet(f"{SF}/orders.parquet").selectExpr("o_orderkey AS k", "o_custkey AS v")
+    few = local(spark, [(0, 5), (1, 7)], "req_id long, k long")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for df in (lookup.find_many(stored, few), batch.answers(stored, log(spark, REQUESTS)), overlay.classified(stored, log(spark, LOG)), overlay.violations(stored, log(spark, BAD_LOG))):
+            lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+            scan = next(i for i, x in enumerate(lines) if "FileScan parquet" in x)
+            above = [x for x in lines[:scan] if x.index(x.lstrip(" :+-*")) < lines[scan].index(lines[scan].lstrip(" :+-*"))]
+            joins = [i for i, x in enumerate(above) if "BroadcastHashJoin" in x and "LeftSemi" in x]
+            assert joins and not any("Exchange" in x for x in above[joins[-1] :])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_repeated_keys_in_an_upsert(spark):
+    from tidemark.operators import dml
+
+    make = lambda rows: spark.createDataFrame(rows, "k long, v long")
+    assert sorted(map(tuple, dml.upsert(make([(1, 1), (2, 2)]), make([(1, 5), (1, 9), (3, 3)])).collect())) == [(1, 9), (2, 2), (3, 3)]

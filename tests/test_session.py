@@ -22,6 +22,9 @@ def test_spelling():
     assert to_spark("k = ANY(ARRAY[1,2]) AND v=ANY('{3,NULL}'::bigint[])") == "k IN (1,2) AND v IN (3,NULL)"
     assert to_spark("k = ANY (ARRAY(SELECT (1)))") == "k IN (SELECT (1))"
     assert to_spark("k = ANY('{}'::bigint[])") == "k IN (NULL)"
+    assert to_spark("k <> ALL(ARRAY[1,2])") == "k NOT IN (1,2)"
+    assert to_spark("SELECT 'k = ANY(x)', 'generate_series(1,2)'") == "SELECT 'k = ANY(x)', 'generate_series(1,2)'"
+    assert statements("\\timing on\nSELECT 1;\n\\echo a; b\nSELECT 2") == ["SELECT 1", "SELECT 2"]
     assert to_spark("SELECT g FROM generate_series(1, 9, 2) g WHERE g > 1") == "SELECT g FROM (SELECT id AS g FROM range(1, (9) + 1, 2)) AS g WHERE g > 1"
 
 
@@ -37,6 +40,68 @@ def test_lookups(session):
     assert "In(k, [1,2])" in rows(session, "EXPLAIN (COSTS OFF) SELECT v FROM kv WHERE k IN (1,2)")[0][0]
 
 
+def test_series(session):
+    assert rows(session, "SELECT g FROM generate_series(10, 1, -3) g ORDER BY g") == [(1,), (4,), (7,), (10,)]
+    assert rows(session, "SELECT count(*) FROM generate_series(10, 1)") == [(0,)]
+    assert rows(session, "SELECT sum(x) FROM (SELECT generate_series(5, 1, -2) AS x)") == [(9,)]
+    assert rows(session, "SELECT count(*) FROM (SELECT 1 AS a, generate_series(5, 1))") == [(0,)]
+
+
+def test_arrays(session):
+    """Lists of keys and what they must count."""
+    session.execute("INSERT INTO kv SELECT g, g*7 FROM generate_series(1,100000) g")
+    session.execute("PREPARE q(bigint[]) AS SELECT count(*) FROM kv WHERE k = ANY($1)")
+    assert rows(session, "EXECUTE q('{1,100,500,50000,99999}')") == [(5,)]
+    assert rows(session, "EXECUTE q('{2,4,6,8,10,12,14,16,18,20,22,24,26,28,30}')") == [(15,)]
+    assert rows(session, "EXECUTE q('{}')") == [(0,)] and rows(session, "EXECUTE q(ARRAY(SELECT generate_series(1, 7)))") == [(7,)]
+    assert rows(session, "SELECT count(*) FROM kv WHERE k = ANY(ARRAY(SELECT generate_series(1,100000,100)))") == [(1000,)]
+    assert rows(session, "SELECT count(*) FROM kv WHERE k = ANY('{1,100,500,50000,99999}'::bigint[])") == [(5,)]
+    assert rows(session, "SELECT count(*) FROM kv WHERE k <> ALL(ARRAY[1,2,3])") == [(99_997,)]
+    session.execute("PREPARE w(bigint, bigint) AS UPDATE kv SET v = $2 WHERE k = $1")
+    session.execute("EXECUTE w(5, -3 + 1)")
+    assert rows(session, "SELECT v FROM kv WHERE k = 5") == [(-2,)]
+    session.execute("DEALLOCATE w")
+    with pytest.raises(KeyError):
+        session.execute("EXECUTE w(1, 2)")
+    session.execute("PREPARE text AS SELECT '$1' AS a, $1 AS b")
+    assert rows(session, "EXECUTE text('x; DROP TABLE kv')") == [("$1", "x; DROP TABLE kv")]
+
+
+def test_another_session(spark, folder, session):
+    """Rows that one connection writes and another reads."""
+    session.run("INSERT INTO kv SELECT g, g*7 FROM generate_series(1,1000) g; INSERT INTO kv VALUES (123456, 42)")
+    other = Session(spark, folder)
+    assert rows(other, "SELECT count(*) FROM kv") == [(1001,)]
+    assert rows(other, "SELECT v FROM kv WHERE k = 500") == [(3500,)]
+    assert rows(other, "SELECT count(*) FROM kv WHERE k = ANY('{1,2,3,500,1000}'::bigint[])") == [(5,)]
+    with pytest.raises(UniqueViolation):
+        other.execute("INSERT INTO kv VALUES (500, 999)")
+    stranger = Session(spark, f"{folder}/elsewhere")
+    with pytest.raises(Exception, match="TABLE_OR_VIEW_NOT_FOUND"):
+        stranger.execute("SELECT * FROM kv")
+    other.execute("DROP TABLE kv")
+    with pytest.raises(Exception, match="TABLE_OR_VIEW_NOT_FOUND"):
+        session.execute("SELECT * FROM kv")
+
+
+def test_savepoint_after_an_error(session):
+    session.run("INSERT INTO kv VALUES (1,10); BEGIN; UPDATE kv SET v = 11 WHERE k = 1; SAVEPOINT a; INSERT INTO kv VALUES (7,1)")
+    with pytest.raises(UniqueViolation):
+        session.execute("INSERT INTO kv VALUES (7,2)")
+    session.run("ROLLBACK TO SAVEPOINT a; INSERT INTO kv VALUES (8,3); COMMIT")
+    assert rows(session, "SELECT k, v FROM kv ORDER BY k") == [(1, 11), (8, 3)]
+
+
+def test_definitions(session):
+    session.run("CREATE EXTENSION IF NOT EXISTS x; CREATE SERVER IF NOT EXISTS s FOREIGN DATA WRAPPER x; CREATE FOREIGN TABLE a (k bigint, v bigint) SERVER s; CREATE TABLE b (k bigint PRIMARY KEY, v bigint)")
+    for bad in ("CREATE TABLE a (k bigint, v bigint)", "CREATE TABLE odd (name text, price double precision)", "CREATE TABLE odd (k bigint, v text)"):
+        with pytest.raises(ValueError):
+            session.execute(bad)
+    session.run("CREATE TABLE IF NOT EXISTS a (k bigint, v bigint); DROP TABLE IF EXISTS none; DROP FOREIGN TABLE a")
+    with pytest.raises(KeyError):
+        session.execute("DROP TABLE a")
+
+
 def test_transactions(session):
     session.run("BEGIN; INSERT INTO kv VALUES (1,10),(2,20);")
     assert rows(session, "SELECT count(*) FROM kv") == [(2,)]

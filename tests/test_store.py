@@ -222,6 +222,44 @@ def test_values(spark, store, folder):
     assert sorted(map(tuple, found.collect())) == [(0, 7, True, 8), (1, 7, True, 8), (2, 12, False, None)]
 
 
+def test_repeated_keys_in_one_batch(spark, store):
+    store.upsert([(1, 10), (2, 5), (1, 20)])
+    assert rows(store.snapshot()) == [(1, 20), (2, 5)]
+    with pytest.raises(UniqueViolation):
+        store.upsert(spark.createDataFrame([(1, 1), (1, 2)], "k long, v long"))
+    store.upsert(spark.createDataFrame([(1, 9, 2), (1, 8, 3), (1, 7, 1)], "k long, v long, at long"), order="at")
+    assert rows(store.snapshot()) == [(1, 8), (2, 5)]
+
+
+def test_bulk_writes_and_vacuum(spark, store):
+    store.insert_many(sevens(spark, 1, 2000))
+    with pytest.raises(UniqueViolation):
+        store.insert_many([(2001, 1), (5, 1)])
+    assert store.snapshot().count() == 2000
+    store.remove_many([1, 2, 99_999])
+    store.remove_many(spark.range(3, 6))
+    assert store.snapshot().count() == 1995 and store.get(6) == 42
+    before, names = rows(store.snapshot()), store.folder.names("data")
+    assert store.vacuum(keep=1) and store.versions() == [store.version]
+    assert rows(store.snapshot()) == before and len(store.folder.names("data")) < len(names)
+
+
+def test_a_point_get_reads_one_range(spark, store):
+    """A version lies in ranges of keys, so statistics leave out all row groups but one."""
+    fill(store, sevens(spark, 1, 200_000).repartition(8))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        fill(store, sevens(spark, 200_001, 400_000).repartition(8))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = store.snapshot().where("k = 123456")
+    assert got.collect() == [(123_456, 7 * 123_456)]
+    plan = got._jdf.queryExecution().executedPlan()
+    scans = plan.collectLeaves()
+    read = sum(scans.apply(i).metrics().apply("numOutputRows").value() for i in range(scans.size()))
+    assert 0 < read <= 400_000 // 4 + 10_000
+
+
 def test_tables_share_nothing(spark, folder):
     a, b = Store(spark, f"{folder}/a"), Store(spark, f"{folder}/b")
     fill(a, [(1, 1)])

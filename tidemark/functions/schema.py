@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterable
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..errors import NullValue
 
 KV = StructType([StructField("k", LongType()), StructField("v", LongType())])
-#: Operations by name; the numbers of a request batch stand for the first four.
-LOOKUP, INSERT, UPDATE, DELETE = range(4)
 OPS = "seq long, op string, k long, v long"
-OK, NOT_FOUND = 0, 1
+_ARROW = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
+
+
+def local(spark: SparkSession, rows: Iterable[tuple], schema: str) -> DataFrame:
+    """Rows of the driver as a relation of known size, which Spark may broadcast; no Python worker reads them."""
+    fields = [f.split() for f in schema.split(", ")]
+    columns = list(zip(*rows)) or [()] * len(fields)
+    return spark.createDataFrame(pa.table([pa.array(c, _ARROW[t]) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields]))
 
 
 def kv(df: DataFrame, key: str, value: str | Column | None = None) -> DataFrame:

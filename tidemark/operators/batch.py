@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .lookup import hits
 from .overlay import net_effect
 
 
@@ -29,7 +30,7 @@ def answers(table: DataFrame, requests: DataFrame) -> DataFrame:
     """
     earlier = Window.partitionBy("r.k").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     writes = F.when(F.col("op").isin("INSERT", "UPDATE", "DELETE"), F.struct("op", F.col("r.v").alias("v")))
-    seen = requests.alias("r").join(table.alias("t"), F.col("r.k") == F.col("t.k"), "left")
+    seen = requests.alias("r").join(hits(table, requests).alias("t"), F.col("r.k") == F.col("t.k"), "left")
     seen = seen.select("seq", "op", F.col("t.k").isNotNull().alias("stored"), F.col("t.v").alias("old"), F.last(writes, ignorenulls=True).over(earlier).alias("w"))
     there = F.when(F.col("w").isNull(), F.col("stored")).otherwise(F.col("w.op") != "DELETE")
     value = F.when(F.col("w").isNull(), F.col("old")).otherwise(F.col("w.v"))

@@ -10,8 +10,9 @@ def insert(table: DataFrame, rows: DataFrame) -> DataFrame:
     return table.unionByName(rows)
 
 
-def upsert(table: DataFrame, rows: DataFrame) -> DataFrame:
-    """New rows win over old ones of the same key."""
+def upsert(table: DataFrame, rows: DataFrame, order: str = "v") -> DataFrame:
+    """New rows win over old ones of the same key; of new rows with one key, the one with the greatest ``order`` stays."""
+    rows = rows.groupBy("k").agg(F.max_by("v", order).alias("v"))
     return table.join(rows.select("k"), "k", "left_anti").select("k", "v").unionByName(rows)
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .lookup import hits
+
 
 def net_effect(ops: DataFrame) -> DataFrame:
     """What the log leaves of each key: (k, v, deleted), from its last operation; no sort, one aggregate."""
@@ -26,7 +28,7 @@ def overlay(base: DataFrame, delta: DataFrame) -> DataFrame:
 
 def classified(base: DataFrame, ops: DataFrame) -> DataFrame:
     """The net effect by kind against the base: ins, upd, del; keys made and deleted within the log vanish."""
-    delta = net_effect(ops).alias("d").join(base.select("k").alias("b"), F.col("d.k") == F.col("b.k"), "left")
+    delta = net_effect(ops).alias("d").join(hits(base, ops).select("k").alias("b"), F.col("d.k") == F.col("b.k"), "left")
     kind = F.when(F.col("deleted"), F.when(F.col("b.k").isNotNull(), "del")).when(F.col("b.k").isNotNull(), "upd").otherwise("ins")
     return delta.select(F.col("d.k").alias("k"), "v", kind.alias("kind")).where("kind is not null")
 
@@ -34,7 +36,7 @@ def classified(base: DataFrame, ops: DataFrame) -> DataFrame:
 def violations(base: DataFrame, ops: DataFrame) -> DataFrame:
     """The keys that the log inserts where they are, at that point of the log."""
     before = F.lag("op").over(Window.partitionBy("o.k").orderBy("seq"))
-    tagged = ops.alias("o").join(base.select("k").alias("b"), F.col("o.k") == F.col("b.k"), "left")
+    tagged = ops.alias("o").join(hits(base, ops.where("op = 'INS'")).select("k").alias("b"), F.col("o.k") == F.col("b.k"), "left")
     tagged = tagged.select("o.k", "op", before.alias("p"), F.col("b.k").isNotNull().alias("c"))
     taken = F.when(F.col("p").isNull(), F.col("c")).otherwise(F.col("p") != "DEL")
     return tagged.where((F.col("op") == "INS") & taken).select("k").distinct()

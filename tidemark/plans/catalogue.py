@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.schema import kv
+from ..functions.schema import OPS, kv, local
 from ..operators import aggregates, batch, dml, lookup, overlay
 from ..sources.column import ResidentColumn
 
@@ -42,7 +42,7 @@ def table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def log(spark: SparkSession, rows: tuple = LOG) -> DataFrame:
-    return spark.createDataFrame(list(rows), "seq long, op string, k long, v long")
+    return local(spark, rows, OPS)
 
 
 def query(sql: str | None, *names: str):
@@ -71,11 +71,27 @@ def point_get_param(spark, t):
     return spark.sql("SELECT k, v FROM {t} WHERE k = :key", args={"key": 777}, t=t)
 
 
-@query(f"SELECT k, v FROM kv WHERE k IN {IN_SQL}", "multi_get_any", "multi_get_param")
+@query(f"SELECT k, v FROM kv WHERE k IN {IN_SQL}")
 def multi_get_in(spark, t):
     return lookup.multi_get(t, KEYS)
 
 
+@query(f"SELECT k, v FROM kv WHERE k IN {IN_SQL}")
+def multi_get_any(spark, t):
+    """An array constructor, as a statement spells it."""
+    from ..sources.session import to_spark
+
+    return spark.sql(to_spark(f"SELECT k, v FROM {{t}} WHERE k = ANY(ARRAY[{', '.join(map(str, KEYS))}])"), t=t)
+
+
+@query(f"SELECT k, v FROM kv WHERE k IN {IN_SQL}")
+def multi_get_param(spark, t):
+    """An array that is bound to a prepared statement's parameter."""
+    from ..sources.session import Prepared
+
+    return Prepared("SELECT k, v FROM {t} WHERE k = ANY($1)").bind(spark, [f"ARRAY[{', '.join(map(str, KEYS))}]"], t=t)
+
+
 @query(f"SELECT k, v FROM kv WHERE k IN {IN_SQL} AND k = 42")
 def multi_get_conj(spark, t):
     return lookup.point_get(lookup.multi_get(t, KEYS), 42)
@@ -181,7 +197,7 @@ def resident_count(spark, t):
     column = ResidentColumn(spark)
     column.load(1_000_000)
     try:
-        return spark.createDataFrame([(column.count(), column.sum(), column.count_below(500_000))], "n long, sum_v long, below long")
+        return local(spark, [(column.count(), column.sum(), column.count_below(500_000))], "n long, sum_v long, below long")
     finally:
         column.release()
 
@@ -202,7 +218,7 @@ def verdict_case(spark, t):
 
 @query("SELECT k, v FROM kv UNION ALL SELECT * FROM (VALUES (9000001, 11), (9000002, 22)) AS t(k, v)")
 def insert_values(spark, t):
-    return dml.insert(t, spark.createDataFrame([(9000001, 11), (9000002, 22)], "k long, v long"))
+    return dml.insert(t, local(spark, [(9000001, 11), (9000002, 22)], "k long, v long"))
 
 
 @query("SELECT k, v FROM kv UNION ALL SELECT range, range * 7 FROM range(1000000, 1100000)")
@@ -257,18 +273,18 @@ def rename_overlap_detect(spark, t):
 
 @query("SELECT k FROM kv WHERE k IN (500, 501)")
 def pk_dup_existing(spark, t):
-    return dml.existing(t, spark.createDataFrame([(500, 1), (501, 1), (-3, 1)], "k long, v long"))
+    return dml.existing(t, local(spark, [(500, 1), (501, 1), (-3, 1)], "k long, v long"))
 
 
 @query("SELECT CAST(5000 AS BIGINT) AS k")
 def pk_dup_in_batch(spark, t):
-    return dml.duplicates(spark.createDataFrame([(5000, 1), (5000, 2), (6000, 1)], "k long, v long"))
+    return dml.duplicates(local(spark, [(5000, 1), (5000, 2), (6000, 1)], "k long, v long"))
 
 
 # logs
 
 
-@query(f", {LOG_SQL}, {LAST_SQL} SELECT k, CASE WHEN op <> 'DEL' THEN v ELSE 0 END AS v, op = 'DEL' AS deleted FROM last", "net_effect_of_log")
+@query(f", {LOG_SQL}, {LAST_SQL} SELECT k, CASE WHEN op <> 'DEL' THEN v ELSE 0 END AS v, op = 'DEL' AS deleted FROM last")
 def net_effect(spark, t):
     return overlay.net_effect(log(spark)).fillna(0, ["v"])
 
@@ -278,7 +294,7 @@ def ryw_point(spark, t):
     return lookup.point_get(overlay.overlay(t, overlay.net_effect(log(spark))), 1)
 
 
-@query(f", {LOG_SQL}, {LAST_SQL} {STATE_SQL}", "commit_apply")
+@query(f", {LOG_SQL}, {LAST_SQL} {STATE_SQL}")
 def ryw_scan(spark, t):
     return overlay.overlay(t, overlay.net_effect(log(spark)))
 
@@ -360,6 +376,28 @@ def atomic_multichunk(spark, t):
     return store.snapshot()
 
 
+@query(f", {LOG_SQL}, {LAST_SQL} {STATE_SQL}")
+def commit_apply(spark, t):
+    """The log's net effect as a version of a stored table."""
+    store = _store(spark, t)
+    store.commit_delta(overlay.net_effect(log(spark)), store.version)
+    return store.snapshot()
+
+
+@query(f", {LOG_SQL}, {LAST_SQL} SELECT k, CASE WHEN op <> 'DEL' THEN v ELSE 0 END AS v, op = 'DEL' AS deleted FROM last")
+def net_effect_of_log(spark, t):
+    """The log that a transaction's statements write."""
+    txn = _store(spark, t).begin()
+    for _, op, k, v in LOG:
+        if op == "INS":
+            txn.insert([(k, v)])
+        elif op == "UPD":
+            txn.update(F.col("k") == k, F.lit(v))
+        else:
+            txn.delete(F.col("k") == k)
+    return overlay.net_effect(txn.ops).fillna(0, ["v"])
+
+
 @query("SELECT CASE WHEN k = 4 THEN 9000004 ELSE k END AS k, CASE WHEN k % 7 = 0 THEN v + 1 ELSE v END AS v FROM kv WHERE k % 13 <> 0 OR k = 0 UNION ALL SELECT 9000001, 5")
 def txn_commit(spark, t):
     store = _store(spark, t)

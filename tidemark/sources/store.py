@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import NullValue, UniqueViolation, UnsupportedRename, WriteConflict
-from ..functions.schema import KV, OPS, refuse_nulls, unsigned32
+from ..functions.schema import KV, OPS, local, refuse_nulls, unsigned32
 from ..operators import dml
 from ..operators.lookup import find_many, multi_get, pages, point_get
 from ..operators.overlay import merged, net_effect, overlay, violations
@@ -125,16 +125,11 @@ class Store:
     scan = snapshot
 
     def pages(self, rows: int, version: int | None = None) -> Iterator[list]:
-        """The rows of one version, page by page in order of the key."""
-        pinned = self.version if version is None else version
-        page: list = []
-        for row in self.snapshot(pinned).orderBy("k").toLocalIterator(prefetchPartitions=True):
-            page.append(row)
-            if len(page) == rows:
-                yield page
-                page = []
-        if page:
-            yield page
+        """The rows of one version, page by page in order of the key; the driver holds a page at a time."""
+        paged = self.paged(rows, version)
+        last = paged.agg(F.max("page")).first()[0]
+        for page in range(0 if last is None else last + 1):
+            yield paged.where(F.col("page") == page).select("k", "v").orderBy("k").collect()
 
     def paged(self, rows: int, version: int | None = None) -> DataFrame:
         return pages(self.snapshot(version), rows)
@@ -160,13 +155,56 @@ class Store:
         """Insert or overwrite one key, without a check."""
         self.upsert([(key, value)])
 
-    def upsert(self, rows: DataFrame | list) -> None:
-        rows = rows_of(self.spark, rows)
+    def upsert(self, rows: DataFrame | list, order: str | None = None) -> None:
+        """Insert or overwrite; of rows with one key the last of a list stays, or the one with the greatest ``order``.
+
+        Without an order, a DataFrame with repeated keys is refused.
+        """
+        if isinstance(rows, list):
+            rows, order = local(self.spark, [(k, v, n) for n, (k, v) in enumerate(rows)], "k long, v long, n long"), "n"
         refuse_nulls(rows)
-        self.commit_delta(rows.select("k", "v", F.lit(False).alias("deleted")), self.version)
+        if order:
+            rows = rows.groupBy("k").agg(F.max_by("v", order).alias("v"))
+        else:
+            refuse_repeated(rows)
+        self.commit_delta(rows_of(self.spark, rows).withColumn("deleted", F.lit(False)), self.version)
+
+    def insert_many(self, rows: DataFrame | list) -> int:
+        """Insert keys that must be new, all or nothing; returns the version."""
+        txn = self.begin()
+        try:
+            txn.insert(rows)
+        except Exception:
+            txn.rollback()
+            raise
+        return txn.commit()
 
     def remove(self, key: int) -> None:
-        self.commit_delta(self.spark.createDataFrame([(key, None, True)], DELTA), self.version)
+        self.remove_many([key])
+
+    def remove_many(self, keys: DataFrame | Iterable[int]) -> None:
+        """Delete keys, there or not; a DataFrame gives them in its first column."""
+        if not isinstance(keys, DataFrame):
+            keys = local(self.spark, [(int(k),) for k in keys], "k long")
+        keys = keys.select(F.col(keys.columns[0]).cast("long").alias("k")).where("k is not null").distinct()
+        self.commit_delta(keys.select("k", F.lit(None).cast("long").alias("v"), F.lit(True).alias("deleted")), self.version)
+
+    def vacuum(self, keep: int = 1) -> list[int]:
+        """Remove all versions but the newest ``keep``, and data that none of these names; returns the versions that went.
+
+        Readers of a version that goes lose it, and so do open transactions on one.
+        """
+        if keep < 1:
+            raise ValueError("one version stays at least")
+        versions = self.versions()
+        gone, stay = versions[:-keep], versions[-keep:]
+        named = {m[part] for m in map(self.manifest, stay) for part in ("base", "delta") if m[part]}
+        for version in gone:
+            self.folder.remove(f"versions/{version}.json")
+        for name in self.folder.names("data"):
+            if f"data/{name}" not in named and int(name.split("-")[0]) <= stay[-1]:
+                self.folder.remove(f"data/{name}")
+        return gone
 
     def commit_delta(self, delta: DataFrame, based_on: int, batch: tuple[str, int] | None = None) -> int:
         """Publish the version after ``based_on``: its rows with a net effect over them."""
@@ -184,7 +222,8 @@ class Store:
             delta = self._read(f"{name}.delta", DELTA)
             compact = delta.count() > COMPACT_AT * m["base_rows"]
         if compact:
-            overlay(self._read(m["base"], KV), delta).write.parquet(f"{self.folder.path}/{name}")
+            # ranges of keys in order, so that the files' and row groups' statistics leave out all but a few for a key
+            overlay(self._read(m["base"], KV), delta).repartitionByRange("k").sortWithinPartitions("k").write.parquet(f"{self.folder.path}/{name}")
             out |= {"base": name, "delta": None, "base_rows": self._read(name, KV).count()}
         if batch:
             out["batches"] = m["batches"] | {batch[0]: batch[1]}
@@ -195,8 +234,13 @@ class Store:
         return new
 
 
+def refuse_repeated(rows: DataFrame) -> None:
+    if found := [r.k for r in dml.duplicates(rows).orderBy("k").limit(NAMED).collect()]:
+        raise UniqueViolation("keys twice in one batch", found)
+
+
 def rows_of(spark: SparkSession, rows: DataFrame | list) -> DataFrame:
-    return rows.select(F.col("k").cast("long").alias("k"), F.col("v").cast("long").alias("v")) if isinstance(rows, DataFrame) else spark.createDataFrame(rows, "k long, v long")
+    return rows.select(F.col("k").cast("long").alias("k"), F.col("v").cast("long").alias("v")) if isinstance(rows, DataFrame) else local(spark, rows, "k long, v long")
 
 
 class Transaction:
@@ -234,7 +278,7 @@ class Transaction:
     @property
     def ops(self) -> DataFrame:
         if not self._logs:
-            return self.spark.createDataFrame([], OPS)
+            return local(self.spark, [], OPS)
         return self.spark.read.schema(OPS).parquet(*[f"{self.store.folder.path}/{n}" for n in self._logs])
 
     def _resolved(self, rows: DataFrame) -> tuple[str, DataFrame]:
