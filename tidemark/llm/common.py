@@ -10,10 +10,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows in one Arrow batch that goes to a Python worker.  Documents of a few KB
-#: make batches of about 1 MB, so a worker's memory is bounded by a few of its
-#: longest documents.
-BATCH_ROWS = 256
+#: Rows and bytes of one Arrow batch that goes to a Python worker: a text longer than that goes alone, so a worker's
+#: memory is bounded by BATCH_BYTES or its longest document, whichever is more, a few times over.
+BATCH_ROWS = 1024
+BATCH_BYTES = 1 << 20
+#: Rows of a narrow table in one file of a checkpoint.
+FILE_ROWS = 100_000
+#: Files of a checkpoint at least, where rows suffice: tasks that may write at once.
+FILES = 6
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -21,33 +25,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Small Arrow batches for the Python operators of this session, whose workers import this package from where the driver has it."""
+def bound_batches(spark: SparkSession) -> None:
+    """Small Arrow batches for the Python operators of this session, the same for all of them; workers import this package from where the driver has it."""
     path = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in path:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([*filter(None, path), ROOT])
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) is a temporary one set.
+    Only a local session (tests) may name none, and gets a temporary one.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not named:
-        named = spark.sparkContext.getCheckpointDir()
-        if not named:
-            named = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-            spark.sparkContext.setCheckpointDir(named)
-    elif not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder; survives lost executors."""
+def checkpointed(df: DataFrame, most: int | None = None, file_rows: int = FILE_ROWS) -> DataFrame:
+    """Cut the lineage through the shared folder; survives lost executors.
+
+    ``most`` bounds the rows of ``df``, where that is known: the checkpoint then
+    has no more files than rows need, as each one costs a task, two files and,
+    on some file systems, two processes.
+    """
     shared_dir(df.sparkSession)
+    if most is not None:
+        df = df.coalesce(max(min(FILES, -(-most // 1000)), -(-most // file_rows), 1))
     return df.checkpoint(eager=True)
 
 
@@ -84,8 +95,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -123,7 +134,7 @@ def word_hashes(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.nd
     n = len(data)
     if not n:
         return np.empty(0, np.uint64), np.zeros(len(at) - 1, np.int64)
-    space = _SPACE[data]
+    space = SPACE[data]
     begins = np.empty(n + 1, bool)
     begins[0] = True
     begins[1:n] = space[:-1]
