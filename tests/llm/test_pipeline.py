@@ -6,11 +6,11 @@ import zstandard
 
 import corpus_pipeline
 from tests.conftest import SF
-from tests.llm.test_texts import brute_components, brute_sets
+from tests.llm.test_texts import brute_components, brute_kept, brute_sets
 from tests.llm.test_tokens import segmenter
 from tidemark.llm import langid
 from tidemark.llm.mixing import BLOCK_ROWS, mix
-from tidemark.llm.quality import LEVEL, measures
+from tidemark.llm.quality import LEVEL
 
 
 def test_stages(spark, folder):
@@ -28,7 +28,7 @@ def test_stages(spark, folder):
     was, now = kept["quality rules"]
     squeeze = zstandard.ZstdCompressor(level=LEVEL).compress
     assert 0 < len(now) < len(was)
-    assert ids(now) == ids(r for r in was if measures(r.text, squeeze)[-1])
+    assert ids(now) == ids(r for r in was if brute_kept(r.text, squeeze))
 
     was, now = kept["language id"]
     model = langid.fit(spark.createDataFrame([(r.text, r.lang) for r in was], "text string, lang string"))

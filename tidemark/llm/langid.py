@@ -164,13 +164,30 @@ def infer(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray
     return whole, chosen, sizes
 
 
-def predict(df: DataFrame, model: Model, text: str = "text", keep: list[str | Column] | None = None, covered: str | None = None) -> DataFrame:
-    """Add ``lang_pred``, ``score``, ``languages`` and ``proportions`` to the columns ``keep`` (default: all), and ``covered`` if that is a name.
+def recognised(df: DataFrame, model: Model, share: float, text: str = "text") -> DataFrame:
+    """The rows of ``df`` whose chosen languages, one or more, have ``share`` together when all languages take part.
+
+    Rows come as they are, with all their columns, whatever their names, and no
+    other.  A null text, and one without a letter, has no language and goes.
+    """
+    bound_batches(df.sparkSession)
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole, chosen, _ = infer(shared.value, batch.column(at).to_pylist())
+            yield batch.filter(pa.array((chosen > 0).any(1) & (np.where(chosen > 0, whole, 0).sum(1) >= share), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def predict(df: DataFrame, model: Model, text: str = "text", keep: list[str | Column] | None = None) -> DataFrame:
+    """Add ``lang_pred``, ``score``, ``languages`` and ``proportions`` to the columns ``keep`` (default: all).
 
     ``lang_pred`` is the language with the largest share in the chosen set
     (ties: the first by name), ``score`` its share when all languages take
     part, and the two arrays are the chosen set and its shares, largest first.
-    ``covered`` is the sum of the chosen languages' shares when all take part.
     A null text, one without a letter, or a model without languages gives
     ``und``, 0 and empty arrays.  Whole texts are read, in one pass without a
     shuffle; repeated rows get the same values; a column with one of these
@@ -178,28 +195,27 @@ def predict(df: DataFrame, model: Model, text: str = "text", keep: list[str | Co
     """
     spark = df.sparkSession
     bound_batches(spark)
-    added = ["lang_pred", "score", "languages", "proportions"] + [covered] * (covered is not None)
+    added = ["lang_pred", "score", "languages", "proportions"]
     keep = [F.col(f"`{c}`") if isinstance(c, str) else c for c in (df.columns if keep is None else keep)]
     source = df.select(*keep, F.col(text).alias("__text"))
     kept = [f for f in source.schema.fields[:-1] if f.name not in added]
     source = source.select(*[F.col(f"`{f.name}`") for f in kept], "__text")
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["lang_pred string, score double, languages array<string>, proportions array<double>"] + [f"`{covered}` double"] * (covered is not None))
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["lang_pred string, score double, languages array<string>, proportions array<double>"])
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
             whole, chosen, _ = infer(m, batch.column(len(kept)).to_pylist())
-            names, scores, sets, shares, sums = [], [], [], [], []
+            names, scores, sets, shares = [], [], [], []
             for row, all_ in zip(chosen, whole):
                 at = [int(i) for i in np.argsort(-row, kind="stable") if row[i] > 0]
                 names.append(m.languages[at[0]] if at else UNDETERMINED)
                 scores.append(min(1.0, float(all_[at[0]])) if at else 0.0)
                 sets.append([m.languages[i] for i in at])
                 shares.append([float(row[i]) for i in at])
-                sums.append(min(1.0, float(all_[at].sum())))
             yield pa.RecordBatch.from_arrays(
-                batch.columns[: len(kept)] + [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(sets, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64()))] + [pa.array(sums, pa.float64())] * (covered is not None),
+                batch.columns[: len(kept)] + [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(sets, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64()))],
                 names=[f.name for f in kept] + added,
             )
 

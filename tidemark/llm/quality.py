@@ -8,16 +8,16 @@ its own band.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import SPACE, bound_batches, mix, text_buffer, word_hashes
 
 
 @dataclass(frozen=True)
@@ -39,22 +39,31 @@ MIN_WORDS = 20
 WINDOW_WORDS = 8
 MAX_REPEAT_PERCENT = 30
 
-_SYMBOLS = b"#*$%&|<>"
+_IS_SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>"))
 SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, ratio double, chunk_ratio_min double, chunk_ratio_max double, n_chunks long, n_bad_chunks long, rest_ratio double, rest_bad boolean, kept boolean"
 
 
-def repeat_words(words: list[bytes]) -> int:
-    """Words that stand in a window of WINDOW_WORDS words found twice or more, the first one included."""
-    windows = list(zip(*(words[i:] for i in range(WINDOW_WORDS))))
-    found = Counter(windows)
-    if len(found) == len(windows):
-        return 0
-    total = upto = 0
-    for i, window in enumerate(windows):
-        if found[window] > 1:
-            total += i + WINDOW_WORDS - max(i, upto)
-            upto = i + WINDOW_WORDS
-    return total
+def repeat_words(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """By text: words that stand in a window of WINDOW_WORDS words found twice or more in it, the first one included.
+
+    Words are 64-bit hashes; windows of all texts are told apart in one go.
+    """
+    ends = np.cumsum(sizes)
+    out = np.zeros(len(sizes), np.int64)
+    if len(hashes) < WINDOW_WORDS:
+        return out
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.flatnonzero(np.arange(len(hashes)) + WINDOW_WORDS <= ends[owner])
+    window = mix(owner[at].astype(np.uint64))
+    for i in range(WINDOW_WORDS):
+        window = mix(window * np.uint64(0xD6E8FEB86659FD93) + hashes[at + i])
+    _, which, times = np.unique(window, return_inverse=True, return_counts=True)
+    again = at[times[which] > 1]
+    steps = np.zeros(len(hashes) + 1, np.int64)
+    np.add.at(steps, again, 1)
+    np.add.at(steps, again + WINDOW_WORDS, -1)
+    np.add.at(out, owner[np.cumsum(steps[:-1]) > 0], 1)
+    return out
 
 
 def dup_lines(raw: bytes) -> int:
@@ -70,18 +79,11 @@ def band(size: int, bands: tuple[Band, ...] = BANDS) -> Band:
     return max((b for b in bands if size >= b.at_least), key=lambda b: b.at_least)
 
 
-def measures(text: str | None, squeeze, bands: tuple[Band, ...] = BANDS, chunk_bytes: int = CHUNK_BYTES) -> tuple:
-    """The values of SCHEMA for one whole text; ``squeeze`` compresses bytes."""
-    raw = (text or "").encode("utf-8", "surrogatepass")
-    words = raw.split()
-    n = len(words)
-    solid = b"".join(words)
-    word_chars = len(solid) if solid.isascii() else len(solid.decode("utf-8", "surrogatepass"))
-    repeated = repeat_words(words) if n > WINDOW_WORDS else 0
-    failed = n < MIN_WORDS or 100 * repeated > MAX_REPEAT_PERCENT * n
+def verdict(raw: bytes, squeeze, bands: tuple[Band, ...], chunk_bytes: int) -> tuple:
+    """``ratio`` and what follows it in SCHEMA, for one whole text that passes the base rules."""
     ratio = len(squeeze(raw)) / len(raw) if raw else 1.0
     limits = band(len(raw), bands)
-    kept = not failed and limits.low <= ratio <= limits.high
+    kept = limits.low <= ratio <= limits.high
     ratios, bad, rest, rest_bad = [], 0, None, False
     starts = list(range(0, len(raw), chunk_bytes))
     if len(starts) > 1 and len(raw) - starts[-1] < min((b.at_least for b in bands if b.at_least), default=0):
@@ -97,7 +99,24 @@ def measures(text: str | None, squeeze, bands: tuple[Band, ...] = BANDS, chunk_b
             ratios.append(r)
             bad += out
     kept = kept and bad + rest_bad < max(1, BAD_CHUNKS * (len(ratios) + (rest is not None)))
-    return n, word_chars, len(solid) - len(solid.translate(None, _SYMBOLS)), dup_lines(raw), repeated, failed, ratio, min(ratios, default=None), max(ratios, default=None), len(ratios), bad, rest, rest_bad, kept
+    return ratio, min(ratios, default=None), max(ratios, default=None), len(ratios), bad, rest, rest_bad, kept
+
+
+def measures(column: pa.Array, squeeze, bands: tuple[Band, ...] = BANDS, chunk_bytes: int = CHUNK_BYTES) -> list[tuple]:
+    """The values of SCHEMA for whole texts; ``squeeze`` compresses bytes."""
+    data, at = text_buffer(column)
+    hashes, sizes = word_hashes(column, lower=False)
+    by_text = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])[at])
+    chars = by_text(~SPACE[data] & ((data & 0xC0) != 0x80))
+    symbols = by_text(_IS_SYMBOL[data])
+    repeated = repeat_words(hashes, sizes)
+    failed = (sizes < MIN_WORDS) | (100 * repeated > MAX_REPEAT_PERCENT * sizes)
+    out = []
+    for i, row in enumerate(zip(sizes.tolist(), chars.tolist(), symbols.tolist())):
+        raw = data[at[i] : at[i + 1]].tobytes()
+        judged = verdict(raw, squeeze, bands, chunk_bytes)
+        out.append((*row, dup_lines(raw), int(repeated[i]), bool(failed[i]), *judged[:-1], judged[-1] and not failed[i]))
+    return out
 
 
 def quality(df: DataFrame, text: str = "text", keep: list[str] | None = None, bands: tuple[Band, ...] = BANDS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -118,15 +137,28 @@ def quality(df: DataFrame, text: str = "text", keep: list[str] | None = None, ba
     bound_batches(df.sparkSession)
     own = [f.split()[0] for f in SCHEMA.split(", ")]
     keep = [c for c in (df.columns if keep is None else keep) if c not in own]
-    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("__text"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]] + [SCHEMA])
+    carried = keep.index(text) if text in keep else len(keep)  # a text that is kept goes out once
+    source = df.select(*[F.col(f"`{c}`") for c in keep], *([] if carried < len(keep) else [F.col(f"`{text}`").alias("__text")]))
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[: len(keep)]] + [SCHEMA])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=LEVEL).compress
         types = [pa.int64()] * 5 + [pa.bool_()] + [pa.float64()] * 3 + [pa.int64()] * 2 + [pa.float64()] + [pa.bool_()] * 2
         for batch in batches:
-            rows = [measures(t.as_py(), squeeze, bands, chunk_bytes) for t in batch.column(len(keep))]
-            columns = list(zip(*rows)) or [[]] * len(own)
+            columns = list(zip(*measures(batch.column(carried), squeeze, bands, chunk_bytes))) or [[]] * len(own)
             yield pa.RecordBatch.from_arrays(batch.columns[: len(keep)] + [pa.array(c, t) for c, t in zip(columns, types)], names=keep + own)
 
     return source.mapInArrow(run, schema)
+
+
+def passed(df: DataFrame, text: str = "text", bands: tuple[Band, ...] = BANDS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """The rows of ``df`` that :func:`quality` keeps, as they are: all their columns, whatever their names, and no other."""
+    bound_batches(df.sparkSession)
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=LEVEL).compress
+        for batch in batches:
+            yield batch.filter(pa.array([m[-1] for m in measures(batch.column(at), squeeze, bands, chunk_bytes)], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
