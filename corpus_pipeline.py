@@ -6,14 +6,16 @@ before it kept; all but the last return the columns that they were given.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.llm import langid
 from tidemark.llm.common import stored
-from tidemark.llm.mixing import mixed
+from tidemark.llm.mixing import by_place, mixed
 from tidemark.llm.neardup import near_duplicates
-from tidemark.llm.quality import quality
+from tidemark.llm.quality import passed
 from tidemark.llm.sentencepiece_scan import encode
 from tidemark.llm.unigram import Vocabulary
 
@@ -24,13 +26,12 @@ PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that fail the base rules or lie outside the compression bands."""
-    return quality(docs).where("kept").select(*docs.columns)
+    return passed(docs)
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents of no language, or whose languages, one or more, have less than LANGUAGE_SHARE together."""
-    found = langid.predict(docs, langid.fit(docs), covered="__covered")
-    return found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("__covered") >= LANGUAGE_SHARE)).select(*docs.columns)
+    return langid.recognised(docs, langid.fit(docs), LANGUAGE_SHARE)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,11 +45,27 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed(docs, "doc_id", "source")
 
 
+def in_file_order(docs: DataFrame) -> DataFrame:
+    """Add ``position``, from 0: the place in the numbered files that a stage has written, which keep the order that a scan does not.
+
+    A frame that is not read from files has the places that the mixture would give it.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns if c != "position"]
+    try:
+        read = docs.select(*columns, F.regexp_extract("_metadata.file_name", r"^part-(\d+)-", 1).cast("long").alias("__file"), F.col("_metadata.file_name").alias("__name"), F.col("_metadata.row_index").alias("__row"))
+    except AnalysisException:
+        return mixed(docs, "doc_id", "source", position="position")
+    files = read.groupBy("__file", "__name").agg(F.count(F.lit(1)).alias("n"))
+    before = files.select(F.col("__name").alias("name"), (F.sum("n").over(Window.orderBy("__file", "__name")) - F.col("n")).alias("__before"))  # one row a file
+    placed = read.join(F.broadcast(before), F.col("__name") == F.col("name"))
+    return placed.select(*columns, (F.col("__before") + F.col("__row")).alias("position"))
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of every text, laid out like the mixture, with the place in it as ``position``: files and joins keep no order."""
-    found = encode(docs, Vocabulary.read(PIECES), keep=["doc_id", "lang", "source"], verify=True)
-    found, _ = stored(found.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip"), "stage")
-    return mixed(found, "doc_id", "source", position="position")
+    """The ids of every text, in the order of the mixture, with the place in it as ``position``."""
+    found = encode(in_file_order(docs), Vocabulary.read(PIECES), keep=["doc_id", "lang", "source", "position"], verify=True)
+    found = found.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip", "position")
+    return by_place(found, "position", docs.count())
 
 
 STAGES = [
