@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import licenses, mixing
-from tidemark.llm.mixing import mix, mixed, parts, period, phases
+from tidemark.llm.mixing import Schedule, mix, mixed, slot_table
 from tidemark.llm.ranking import ranked
 from tidemark.llm.sharding import stratified_shards
 
@@ -67,28 +67,27 @@ def test_shard_edges(spark):
         stratified_shards(same, "doc_id", "source", 0)
 
 
-def test_period_keeps_windows():
-    a = parts([5, 1, 2.5, 0.01, 1e-9], 4096)
-    assert sum(a) == 4096 and min(a) >= 1
-    slots = period(a)
-    assert sorted(s for x in slots for s in x) == list(range(4096))
-    for k, mine in zip(a, slots):
-        for j, t in enumerate(mine):
-            assert j * 4096 // k <= t < -(-(j + 1) * 4096 // k)
+def walk(schedule):
+    state = schedule.begin()
+    return list(schedule.run(state, schedule.slots))
 
 
-def test_phases_place_all_blocks_once():
+def test_schedule_places_all_blocks_once():
     blocks, weights = [100, 3, 7, 0, 50, 9], [1, 1, 2, 5, 0.5, 0]
-    seen = {}
-    for p in phases(blocks, weights, 64):
-        a = {i: len(s) for i, s in p.slots.items()}
-        for i, n in p.count.items():
-            for b in range(n):
-                slot = p.start + b // a[i] * p.quantum + p.slots[i][b % a[i]]
-                assert slot not in seen
-                seen[slot] = i, p.first[i] + b
-    assert sorted(seen) == list(range(sum(blocks)))
-    assert sorted(seen.values()) == [(i, b) for i, n in enumerate(blocks) for b in range(n)]
+    got = walk(Schedule(blocks, weights))
+    assert sorted((i, b) for i, b, _, _ in got) == [(i, b) for i, n in enumerate(blocks) for b in range(n)]
+    assert [p for _, _, p, _ in got] == sorted(p for _, _, p, _ in got)
+    assert {i for i, _, p, _ in got if i == 5} == {5} and all(i != 5 for i, _, _, _ in got[:160])  # without a weight: last
+
+
+def test_schedule_starts_anywhere():
+    schedule = Schedule([40, 300, 7, 12, 90], [0.1, 2.5, 1 / 3, 1, 0.7])
+    state, parts = schedule.begin(), []
+    while state.slot < schedule.slots:
+        parts += schedule.run(mixing.deepcopy(state), state.slot + 17)
+        for _ in schedule.run(state, state.slot + 17):
+            pass
+    assert parts == walk(schedule)
 
 
 def test_given_weights_on_long_schedules():
@@ -99,14 +98,30 @@ def test_given_weights_on_long_schedules():
         ([n**0.5 for n in (9e5, 5e5, 3e5, 2e5, 7e4, 1e4)], [20_000] * 6),
         ([1e-5, 0.5, 0.49999], [10, 15_000, 15_000]),
         ([1000.0] + [1.0] * 1000, [5000] + [6] * 1000),
+        ([1.0] * 20, [50_000] * 20),
+        ([0.7, 1 / 3, 0.123456789], [600_000, 290_000, 110_000]),
     ):
-        p = phases(blocks, weights)[0]
-        total, q = sum(map(Fraction, weights)), len(set().union(*p.slots.values()))
-        assert q == sum(p.count.values()) >= 5000
-        for i, slots in p.slots.items():
-            w = Fraction(weights[i]) / total
-            assert all(abs(j - s * w) < 1 and abs(j + 1 - (s + 1) * w) < 1 for j, s in enumerate(slots))
-            assert abs(len(slots) - q * w) < 1
+        schedule = Schedule(blocks, weights)
+        live, a, q = schedule.shares([0] * len(blocks))
+        assert [Fraction(x, q) for x in a] == [Fraction(w) / sum(map(Fraction, weights)) for w in weights]
+        last = {}
+        for t, (i, j, phase, _) in enumerate(schedule.run(schedule.begin(), schedule.slots)):
+            if phase:
+                break
+            # before and after its slot, and so at any time between two of its slots
+            assert abs(j * q - t * a[i]) < q and abs((j + 1) * q - (t + 1) * a[i]) < q
+            last[i] = j
+        assert t >= 5000
+
+
+def test_windows_of_a_schedule(spark, monkeypatch):
+    """Windows that tasks walk through give what the driver's walk does."""
+    schedule = Schedule([400, 30, 70, 1, 250], [1.0, 0.2, 3.0, 0, 0.5])
+    short = [3, 0, 7, 1, 2]
+    whole = sorted(map(tuple, slot_table(spark, schedule, short).collect()))
+    monkeypatch.setattr(mixing, "WINDOW_SLOTS", 100)
+    assert sorted(map(tuple, slot_table(spark, schedule, short).collect())) == whole
+    assert [r[3] for r in sorted(whole, key=lambda r: r[3])] == list(range(751))
 
 
 def brute_edf(share, quantum, slots, left):
@@ -124,7 +139,7 @@ def brute_edf(share, quantum, slots, left):
 
 def test_mix_against_slot_by_slot(spark):
     weights = {"s0": 5, "s1": 1, "s2": 1, "s3": 1, "s4": 2, None: 0.5}
-    got = mix(spark.createDataFrame(ROWS, SCHEMA).withColumn("slot", F.lit(0)), "doc_id", "source", weights, block_rows=8, quantum=128).collect()
+    got = mix(spark.createDataFrame(ROWS, SCHEMA).withColumn("slot", F.lit(0)), "doc_id", "source", weights, block_rows=8).collect()
     assert sorted(r.doc_id for r in got) == list(range(997))
     got.sort(key=lambda r: r.position)
     assert [r.position for r in got] == list(range(997))
@@ -132,13 +147,13 @@ def test_mix_against_slot_by_slot(spark):
     names = sorted(weights, key=lambda x: (x is None, x))
     counts = Counter(r.source for r in got)
     left = [-(-counts[x] // 8) for x in names]
-    a = parts([weights[x] for x in names], 128)
-    first = brute_edf(a, 128, 10_000, left)
+    a = [int(2 * weights[x]) for x in names]
+    first = brute_edf(a, sum(a), 10_000, left)
     blocks = list(dict.fromkeys((r.slot, r.source, r.block) for r in got))
     assert [(names.index(s), b) for _, s, b in blocks[: len(first)]] == first
     for t in range(len(first) + 1):  # less than one block from the target, at any time
         had = Counter(i for i, _ in first[:t])
-        assert all(abs(had[i] - t * x / 128) < 1 for i, x in enumerate(a))
+        assert all(abs(had[i] - t * x / sum(a)) < 1 for i, x in enumerate(a))
     assert max(r.phase for r in got) >= 1
 
 
@@ -151,8 +166,11 @@ def test_mix_edges(spark):
     some = mix(spark.createDataFrame(ROWS, SCHEMA), "doc_id", "source", {"s1": 1.0}, block_rows=16).collect()
     assert sorted(r.position for r in some) == list(range(997))
     assert {r.source for r in some if r.phase == 0} == {"s1"}
-    with pytest.raises(ValueError):
-        mixing.parts([1.0] * 5, 4)
+    apart = spark.createDataFrame(ROWS, SCHEMA).dropDuplicates(["doc_id"]).withColumn("position", F.lit(-1))
+    for rows in (apart, apart.union(apart.limit(5))):  # whole rows are placed where some are there twice
+        laid = mixed(rows, "doc_id", "source", position="position", block_rows=8).collect()
+        assert [r.position for r in sorted(laid, key=lambda r: r.position)] == list(range(rows.count()))
+        assert Counter((r.doc_id, r.text) for r in laid) == Counter((r.doc_id, r.text) for r in rows.collect())
 
 
 FILES = [

@@ -19,24 +19,28 @@ _INDEX_BITS = 33
 BROADCAST_ROWS = 100_000
 
 
-def ranked(df: DataFrame, order: list[Column], group: str | None = None, out: str = "rank", total: str = "total") -> DataFrame:
+def ranked(df: DataFrame, order: list[Column], group: str | None = None, out: str = "rank", total: str = "total", rows: int | None = None) -> DataFrame:
     """Add ``out``, the row's 0-based rank in ``order`` (within ``group``, if given), and ``total``, the rows ranked with it.
 
     With ``group`` the rows are ordered by it first, so a group may lie in any
     number of partitions: one with a third of all rows is spread like any other
-    rows, as long as ``order`` tells its rows apart.  Rows that are equal in
-    ``order`` get different ranks; which gets which is free.  Null is a group
-    of its own.  An empty frame stays empty.
+    rows.  So are rows that are equal in ``order``, as a number tells them
+    apart; they get different ranks, and which gets which is free.  Null is a
+    group of its own.  An empty frame stays empty.  ``rows`` is the number of
+    rows, where that is known.
     """
-    keys = ([F.col(group)] if group else []) + order
+    keys = ([F.col(group)] if group else []) + order + [F.col("__salt")]
+    rows = df.count() if rows is None else rows
     placed = (
-        df.repartitionByRange(*keys)
+        df.withColumn("__salt", F.monotonically_increasing_id())
+        .repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
+        .drop("__salt")
         .withColumn("__at", F.monotonically_increasing_id())
         .withColumn("__part", F.shiftright("__at", _INDEX_BITS))
         .withColumn("__at", F.col("__at").bitwiseAND(F.lit((1 << _INDEX_BITS) - 1)))
     )
-    placed = checkpointed(placed)
+    placed = checkpointed(placed, rows)
     by = ["__part"] + ([group] if group else [])
     met = placed.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
     every = Window.partitionBy(group) if group else Window.partitionBy(F.lit(0))
@@ -46,7 +50,8 @@ def ranked(df: DataFrame, order: list[Column], group: str | None = None, out: st
             *by,
             (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__base"),
             F.sum("__n").over(every).alias("__total"),
-        )
+        ),
+        rows,
     )
     if sizes.count() <= BROADCAST_ROWS:
         sizes = F.broadcast(sizes)

@@ -29,10 +29,11 @@ def stratified_shards(df: DataFrame, key: str, stratum: str, n_shards: int, seed
         raise ValueError("n_shards must be positive")
     columns = [c for c in df.columns if c not in ("shard", "slot")]
     shuffled = df.select(*[F.col(f"`{c}`") for c in columns], F.xxhash64(F.lit(seed), F.col(key)).alias("__h"))
-    within = ranked(shuffled, [F.col("__h"), F.col(key)], group=stratum, out="__r", total="__n")
+    rows = df.count()
+    within = ranked(shuffled, [F.col("__h"), F.col(key)], group=stratum, out="__r", total="__n", rows=rows)
     fraction = (2 * F.col("__r") + 1) / (2 * F.col("__n"))
     spread = within.select(*[F.col(f"`{c}`") for c in columns], "__h", fraction.alias("__f"))
-    placed = ranked(spread, [F.col("__f"), F.col("__h"), F.col(key)], out="__pos", total="__all")
+    placed = ranked(spread, [F.col("__f"), F.col("__h"), F.col(key)], out="__pos", total="__all", rows=rows)
     cut = placed.withColumn("__shard", F.expr(f"(__pos * {n_shards}) div __all"))
     first = F.expr(f"(__shard * __all + {n_shards - 1}) div {n_shards}")
     return cut.select(*[F.col(f"`{c}`") for c in columns], F.col("__shard").cast("int").alias("shard"), (F.col("__pos") - first).alias("slot"))
