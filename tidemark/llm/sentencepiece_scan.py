@@ -8,11 +8,16 @@ chunk gets the scores of its entry states; then it knows by itself, for each
 exit state, the entry state that the best path comes from; these maps combine
 from the last chunk back; and each chunk writes its own ids.  Scores are whole
 numbers, so the result is that of one run over the whole text.
+
+Chunks of a text are cut by SQL functions and dealt out to all workers, and the
+two scans go by levels: runs of FAN elements combine to one element each, the
+scan of these gives every run its first state, and each run goes on by itself.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound_batches, checkpointed
-from .unigram import NONE, Segmenter, Vocabulary, worker_segmenter
+from .unigram import NONE, SPACE, Segmenter, Vocabulary, worker_segmenter
 
 #: Texts of more characters are cut.
 GIANT = 65_536
 CHUNK = 16_384
+#: Elements of a scan that one task combines.
+FAN = 64
+#: Chunks for which a task is worth while, and giant texts in one file.
+TASK_CHUNKS, FILE_TEXTS = 8, 64
 
 
 def transfer(model: Segmenter, part: str, size: int) -> np.ndarray:
@@ -62,27 +71,55 @@ def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total.max(-2)
 
 
-def _scan(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-    """Scores of the entry states of each chunk of a text."""
-    order = np.argsort(rows["chunk"].to_numpy())
-    states = int(len(rows["matrix"][0].as_py()) ** 0.5)
-    entry = np.full((1, states), NONE, np.int64)
-    entry[0, 0] = 0
-    out = []
-    for k in order:
-        out.append(entry[0].tolist())
-        entry = times(entry, np.array(rows["matrix"][int(k)].as_py(), np.int64).reshape(states, states))
-    return pa.table({"__row": rows["__row"].take(pa.array(order)), "chunk": rows["chunk"].take(pa.array(order)), "entry": pa.array(out, pa.list_(pa.int64()))})
+@dataclass(frozen=True)
+class Action:
+    """How an element acts on a state, and how two elements, one after the other, make one; both are flat lists of whole numbers."""
+
+    first: list[int]
+    act: Callable[[np.ndarray, np.ndarray], np.ndarray]
+    join: Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def _square(x: np.ndarray) -> np.ndarray:
+    return x.reshape(int(len(x) ** 0.5), -1)
+
+
+def scores(states: int) -> Action:
+    """Scores of the entry states; an element is a chunk's matrix."""
+    return Action([0] + [NONE] * (states - 1), lambda e, m: times(e[None, :], _square(m))[0], lambda a, b: times(_square(a), _square(b)).ravel())
+
 
+#: The state in which the best path passes a boundary, from the last one back; an element is a chunk's map from exit to entry states.
+PATHS = Action([0], lambda e, m: m[e], lambda a, b: np.where(a >= 0, b[a], -1))
 
-def _return(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-    """The exit state of each chunk, from the last one, which ends the text, back."""
-    order = np.argsort(rows["chunk"].to_numpy())[::-1]
-    state, out = 0, []
-    for k in order:
-        out.append(state)
-        state = rows["back"][int(k)].as_py()[state]
-    return pa.table({"__row": rows["__row"].take(pa.array(order)), "chunk": rows["chunk"].take(pa.array(order)), "exit": pa.array(out, pa.int32())})
+
+def scanned(elements: DataFrame, action: Action, longest: int) -> DataFrame:
+    """``row``, ``at`` and ``state``: what the elements ``row``, ``at`` (from 0, ``longest`` at most), ``m`` before it make of each row's first state."""
+    out = "row long, at long, state array<bigint>"
+
+    def walk(rows: pa.Table, state: np.ndarray) -> pa.Table:
+        order = np.argsort(rows["at"].to_numpy())
+        states, ms = [], rows["m"].combine_chunks()
+        for k in order:
+            states.append(state.tolist())
+            state = action.act(state, np.array(ms[int(k)].as_py(), np.int64))
+        return pa.table({"row": rows["row"].take(pa.array(order)), "at": rows["at"].take(pa.array(order)), "state": pa.array(states, pa.list_(pa.int64()))})
+
+    if longest <= FAN:
+        return elements.groupBy("row").applyInArrow(lambda key, rows: walk(rows, np.array(action.first, np.int64)), out)
+
+    def joined(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        order, ms = np.argsort(rows["at"].to_numpy()), rows["m"].combine_chunks()
+        total = np.array(ms[int(order[0])].as_py(), np.int64)
+        for k in order[1:]:
+            total = action.join(total, np.array(ms[int(k)].as_py(), np.int64))
+        return pa.table({"row": pa.array([key[0].as_py()], pa.int64()), "at": pa.array([key[1].as_py()], pa.int64()), "m": pa.array([total.tolist()], pa.list_(pa.int64()))})
+
+    runs = elements.withColumn("run", F.expr(f"at div {FAN}"))
+    above = checkpointed(runs.groupBy("row", "run").applyInArrow(joined, "row long, at long, m array<bigint>"))
+    begun = scanned(above, action, -(-longest // FAN)).select("row", F.col("at").alias("run"), F.col("state").alias("begin"))
+    whole = runs.join(begun, ["row", "run"])
+    return whole.groupBy("row", "run").applyInArrow(lambda key, rows: walk(rows, np.array(rows["begin"][0].as_py(), np.int64)), out)
 
 
 def _backs(model: Segmenter, part: str, size: int, entry: list[int]) -> list[int]:
@@ -130,46 +167,55 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: list
                 made.append(pa.array([model.decode(i.tolist()) == t for i, t in zip(ids, texts)], pa.bool_()))
             yield pa.RecordBatch.from_arrays(batch.columns[: len(keep)] + made, names=keep + added)
 
-    long = F.coalesce(F.char_length("__text") > giant, F.lit(False))
-    short = source.where(~long).mapInArrow(whole, schema)
-    giants = source.where(long)
-    marked = giants.withColumn("__row", F.monotonically_increasing_id())
-    rows = checkpointed(marked)
-    if rows.isEmpty():
+    is_long = F.coalesce(F.char_length("__text") > giant, F.lit(False))
+    short = source.where(~is_long).mapInArrow(whole, schema)
+    size = max(chunk, vocabulary.longest)
+    of_text = F.ceil((F.char_length("__text") + 1) / F.lit(size))
+    giants = source.where(is_long)
+    many = giants.agg(F.count(F.lit(1)).alias("texts"), F.coalesce(F.sum(of_text), F.lit(0)).alias("chunks"), F.coalesce(F.max(of_text), F.lit(0)).alias("longest")).first()
+    if not many.texts:
         return short
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tasks = -(-many.chunks // TASK_CHUNKS)
+    rows = checkpointed(giants.withColumn("__row", F.monotonically_increasing_id()), many.texts, FILE_TEXTS)
+
+    # characters are counted from a string's beginning: runs of chunks are cut first, and chunks from these
+    mark = F.lit(SPACE if vocabulary.prefix else "")
+    normal = rows.select(F.col("__row").alias("row"), F.concat(mark, F.translate("__text", " ", SPACE)).alias("t"))
+    reach = vocabulary.longest - 1
+    runs = normal.select("row", F.expr(f"posexplode(transform(sequence(0, (char_length(t) - 1) div {FAN * size}), i -> substring(t, i * {FAN * size} + 1, {FAN * size + reach})))").alias("run", "t"), F.char_length("t").alias("n"))
+    runs = runs.select("row", "run", "t", F.least(F.lit(FAN * size), F.col("n") - F.col("run") * (FAN * size)).alias("n")).repartition(max(1, -(-tasks // FAN) * TASK_CHUNKS))
+    cut = runs.select("row", "run", F.expr(f"posexplode(transform(sequence(0, (n - 1) div {size}), i -> substring(t, i * {size} + 1, {size + reach})))").alias("k", "part"), "n")
+    cut = cut.select("row", (F.col("run") * FAN + F.col("k")).cast("long").alias("chunk"), "part", F.least(F.lit(size), F.col("n") - F.col("k") * size).cast("int").alias("size"))
+
+    def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = worker_segmenter(shared)
-        size = max(chunk, model.longest)
         for batch in batches:
-            for row, t in zip(*(c.to_pylist() for c in batch.columns)):
-                normal = model.normalize(t)
-                n = -(-len(normal) // size)
-                for k in range(n):
-                    part = normal[k * size : (k + 1) * size + model.longest - 1]
-                    own = min(size, len(normal) - k * size)
-                    matrix = transfer(model, part, own).ravel().tolist()
-                    yield pa.RecordBatch.from_arrays([pa.array([row], pa.int64()), pa.array([k], pa.int64()), pa.array([part], pa.string()), pa.array([own], pa.int32()), pa.array([matrix], pa.list_(pa.int64()))], names=["__row", "chunk", "part", "size", "matrix"])
-
-    chunks = checkpointed(rows.select("__row", "__text").mapInArrow(cut, "__row long, chunk long, part string, size int, matrix array<bigint>"))
-    entries = chunks.select("__row", "chunk", "matrix").groupBy("__row").applyInArrow(_scan, "__row long, chunk long, entry array<bigint>")
-    seeded = checkpointed(chunks.drop("matrix").join(entries, ["__row", "chunk"]))
+            made = [transfer(model, p, n).ravel().tolist() for p, n in zip(batch.column("part").to_pylist(), batch.column("size").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.list_(pa.int64()))], names=["row", "chunk", "part", "size", "m"])
+
+    chunks = checkpointed(cut.repartition(tasks).mapInArrow(matrices, "row long, chunk long, part string, size int, m array<bigint>"))
+    entries = scanned(chunks.select("row", F.col("chunk").alias("at"), "m"), scores(vocabulary.longest), many.longest)
+    entries = entries.select("row", F.col("at").alias("chunk"), F.col("state").alias("entry"))
+    seeded = checkpointed(chunks.drop("m").join(entries, ["row", "chunk"]))
 
     def backs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = worker_segmenter(shared)
         for batch in batches:
             made = [_backs(model, p, s, e) for p, s, e in zip(*(batch.column(c).to_pylist() for c in ("part", "size", "entry")))]
-            yield pa.RecordBatch.from_arrays([batch.column("__row"), batch.column("chunk"), pa.array(made, pa.list_(pa.int32()))], names=["__row", "chunk", "back"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("chunk"), pa.array(made, pa.list_(pa.int64()))], names=["row", "chunk", "m"])
 
-    exits = seeded.mapInArrow(backs, "__row long, chunk long, back array<int>").groupBy("__row").applyInArrow(_return, "__row long, chunk long, exit int")
+    maps = checkpointed(seeded.repartition(tasks).mapInArrow(backs, "row long, chunk long, m array<bigint>"))
+    last = maps.groupBy("row").agg(F.max("chunk").alias("last"))
+    turned = maps.join(last, "row").select("row", (F.col("last") - F.col("chunk")).alias("at"), "m")
+    exits = scanned(turned, PATHS, many.longest).join(last, "row").select("row", (F.col("last") - F.col("at")).alias("chunk"), F.col("state")[0].cast("int").alias("exit"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = worker_segmenter(shared)
         for batch in batches:
             made = [_ids(model, p, s, e, x) for p, s, e, x in zip(*(batch.column(c).to_pylist() for c in ("part", "size", "entry", "exit")))]
-            yield pa.RecordBatch.from_arrays([batch.column("__row"), batch.column("chunk"), pa.array(made, pa.list_(pa.int32()))], names=["__row", "chunk", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("chunk"), pa.array(made, pa.list_(pa.int32()))], names=["__row", "chunk", "ids"])
 
-    written = seeded.join(exits, ["__row", "chunk"]).mapInArrow(write, "__row long, chunk long, ids array<int>")
+    written = seeded.join(exits, ["row", "chunk"]).repartition(tasks).mapInArrow(write, "__row long, chunk long, ids array<int>")
     joined = written.groupBy("__row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "ids"))), lambda x: x["ids"])).alias("ids"))
     found = rows.join(joined, "__row").select(*[F.col(f"`{c}`") for c in keep], "__text", "ids")
     if not verify:

@@ -26,8 +26,9 @@ SPACE = "▁"
 UNIT = 16
 UNKNOWN_PENALTY = 10 * UNIT
 NONE = -(1 << 60)
-#: Segments whose result a worker remembers before it starts afresh.
-MEMORY = 400_000
+#: Bytes, about, of the segments whose results a worker remembers before it starts afresh, and the longest of them.
+MEMORY_BYTES = 64 << 20
+REMEMBERED = 64
 #: A count and a score in one number, so that a text's are one sum.
 SCORE_BITS = 44
 _LOW = (1 << SCORE_BITS) - 1
@@ -42,10 +43,22 @@ class Vocabulary:
     byte_ids: list[int]
     prefix: bool = True
 
+    @property
+    def longest(self) -> int:
+        return max(len(p) for p, s in zip(self.pieces, self.scores) if s is not None)
+
     @staticmethod
     def read(path: str) -> Vocabulary:
+        """The vocabulary of a model file, which must keep texts as they are but for a space mark before them."""
         import sentencepiece
-
+        from sentencepiece import sentencepiece_model_pb2
+
+        proto = sentencepiece_model_pb2.ModelProto()
+        with open(path, "rb") as f:
+            proto.ParseFromString(f.read())
+        rules = proto.normalizer_spec
+        if not rules.add_dummy_prefix or rules.remove_extra_whitespaces or not rules.escape_whitespaces or rules.precompiled_charsmap or not proto.trainer_spec.byte_fallback:
+            raise ValueError("the file's texts are to be kept as they are, with a space mark before them, and unknown characters as bytes")
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.get_piece_size()
         pieces = [model.id_to_piece(i) for i in range(n)]
@@ -57,16 +70,21 @@ class Vocabulary:
 
 
 class Memory(dict):
-    """What a function gave for the segments seen of late."""
+    """What a function gave for the segments seen of late; long ones, which hardly come again, are found anew."""
 
     def __init__(self, find):
         super().__init__()
         self.find = find
+        self.bytes = 0
 
     def __missing__(self, part: str):
-        if len(self) >= MEMORY:
-            self.clear()
-        self[part] = out = self.find(part)
+        out = self.find(part)
+        if len(part) <= REMEMBERED:
+            self.bytes += 250 + 2 * len(part)  # text, result and their place
+            if self.bytes > MEMORY_BYTES:
+                self.clear()
+                self.bytes = 0
+            self[part] = out
         return out
 
 
@@ -86,7 +104,7 @@ class Segmenter:
                 self.found.add_word(piece, (len(piece), score, i))
         self.found.make_automaton()
         live = [p for p, s in zip(v.pieces, v.scores) if s is not None]
-        self.longest = max(map(len, live))
+        self.longest = v.longest
         self.unknown = min(s for s in v.scores if s is not None) - UNKNOWN_PENALTY
         # Places that no piece reaches across: before a space mark that follows anything else, and around line ends.
         marks = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in live)
