@@ -309,7 +309,8 @@ def test_language_model(spark, docs):
     rows, df = docs
     df = df.withColumn("held_out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2)
     train = [t for key, t, _ in rows if zlib.crc32(str(key).encode()) % 7 != 2]
-    model = lm.fit(df.where(~F.col("held_out")), shards=5)
+    model = lm.fit(df.where(~F.col("held_out")), shard_bytes=100_000)
+    assert model.shards > 4
     want, _ = brute_lm(train, [t for _, t, _ in rows])
     got = {r.doc_id: r for r in lm.score(df.withColumn("score", F.lit("x")), model, keep=["doc_id", "held_out", "score"]).collect()}
     for (key, _, _), (tokens, known, n, base, score) in zip(rows, want):
@@ -322,7 +323,8 @@ def test_language_model(spark, docs):
 
 def test_model_sums_to_one(spark):
     df = spark.createDataFrame([("a b a c",), ("b a b d a",), ("c",), (None,)], "text string")
-    model = lm.fit(df, shards=3)
+    model = lm.fit(df, shard_bytes=8)
+    assert model.shards == 3
     arrays = lm.Arrays(model)
     words = ["a", "b", "c", "d", "zzz"]
     for context in (None, "a", "b", "zzz"):
@@ -354,8 +356,36 @@ def _next(arrays, context, word):
 
 def test_model_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
-    model = lm.fit(empty, shards=2)
+    model = lm.fit(empty)
     assert (model.v, model.n, model.bigrams) == (0, 0, 0)
     got = lm.score(spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string"), model).collect()
     assert [(r.n_tokens, r.n_known, r.score) for r in got] == [(3, 0, 0.0), (1, 0, 0.0)]
     assert os.path.isdir(model.folder)
+
+
+def test_a_missing_file_is_an_error(spark):
+    """No worker takes a file that it does not see, or sees in part, for an empty one."""
+    df = spark.createDataFrame([(1, "a b a c"), (1, "a b a c"), (2, "a b"), (3, None)], "doc_id long, text string")
+    for name in ("word-0", "times-0", "stats-0"):
+        for spoil in (os.remove, lambda path: os.truncate(path, 4 if name == "times-0" else 8)):
+            model = lm.fit(df)
+            spoil(f"{model.folder}/{name}")
+            with pytest.raises((OSError, ValueError)):
+                lm.log_scores(lm.Arrays(model), *lm.tokens(pa.array(["a b a"])))
+
+
+def test_wide_counts(tmp_path):
+    for n in (np.array([1, 2, 3], np.uint32), np.array([1, 1 << 40, 3], np.uint64)):
+        lm._write(f"{tmp_path}/times-0", n)
+        assert lm._map(f"{tmp_path}/times-0", None, 3).tolist() == n.tolist()
+
+
+def test_merging_as_blobs_come(monkeypatch):
+    monkeypatch.setattr(lm, "HELD", 100)
+    rng = np.random.default_rng(1)
+    held, want = lm.Merged(1), Counter()
+    for _ in range(30):
+        keys = np.unique(rng.integers(0, 500, 60).astype(np.uint64))
+        held.add(lm.pack(keys, keys + np.uint64(1)))
+        want.update(dict(zip(keys.tolist(), (keys + np.uint64(1)).tolist())))
+    assert dict(zip(*(x.tolist() for x in held.get()))) == dict(want)

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from .common import bound_batches, mix, scratch_path, word_hashes
@@ -28,6 +28,10 @@ from .common import bound_batches, mix, scratch_path, word_hashes
 END = np.uint64(0xE17A1465)
 #: Tokens that a task counts before it hands on what it has.
 CHUNK_TOKENS = 2_000_000
+#: Bytes of text for each shard of the model's arrays, so that a shard is of about the same size in a corpus of any.
+SHARD_BYTES = 16 << 20
+#: Entries of one shard that are unpacked before they are merged.
+HELD = 4_000_000
 #: Files that a worker maps at once.
 MAPS = 8192
 _ID_BITS = np.uint64(32)
@@ -70,6 +74,25 @@ def merge(blobs: list[list[np.ndarray]]) -> list[np.ndarray]:
     return [keys[first]] + [np.add.reduceat(c[order], first) if len(first) else c for c in columns[1:]]
 
 
+class Merged:
+    """Blobs merged as they come: what is held is what is distinct and HELD entries more."""
+
+    def __init__(self, values: int):
+        self.values, self.parts, self.new = values, [], 0
+
+    def add(self, blob: bytes) -> None:
+        self.parts.append(unpack(blob, self.values))
+        self.new += len(self.parts[-1][0])
+        if self.new >= HELD:
+            self.get()
+
+    def get(self) -> list[np.ndarray]:
+        """Keys and sums."""
+        none = [np.empty(0, np.uint64)] * (1 + self.values)
+        self.parts, self.new = [merge(self.parts) if self.parts else none], 0
+        return self.parts[0]
+
+
 def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
     """The shard of a hash: shards are ranges of hashes."""
     return ((hashes >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
@@ -91,16 +114,17 @@ def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(kind, pa.int32()), pa.array(blob, pa.binary())], names=["shard", "kind", "blob"])
 
 
-def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[int, list[bytes]]]]:
-    """A partition's blobs, which come sorted by shard, one shard at a time."""
+def _by_shard(batches: Iterator[pa.RecordBatch], values: dict[int, int]) -> Iterator[tuple[int, dict[int, Merged]]]:
+    """A partition's blobs, which come sorted by shard, merged by kind, one shard at a time; ``values`` of each kind."""
     now, held = None, {}
     for batch in batches:
-        for shard, kind, blob in zip(*(c.to_pylist() for c in batch.columns)):
+        for shard, kind, blob in zip(*batch.columns):
+            shard = shard.as_py()
             if shard != now:
                 if now is not None:
                     yield now, held
-                now, held = shard, {}
-            held.setdefault(kind, []).append(blob)
+                now, held = shard, {k: Merged(n) for k, n in values.items()}
+            held[kind.as_py()].add(blob.as_py())
     if now is not None:
         yield now, held
 
@@ -127,9 +151,14 @@ def _write(path: str, x: np.ndarray) -> None:
     os.replace(own, path)
 
 
-def _map(path: str, kind) -> np.ndarray:
-    if not os.path.exists(path) or not os.path.getsize(path):
-        return np.empty(0, kind)
+def _map(path: str, kind, n: int) -> np.ndarray:
+    """``n`` numbers of ``kind``, or as wide as the file has them where that is None; a file that is missing or of another size is an error."""
+    if not n:
+        return np.empty(0, kind or np.uint64)
+    size = os.path.getsize(path)  # raises if it isn't there
+    kind = kind or {4: np.uint32, 8: np.uint64}.get(size // n, np.uint64)
+    if size != n * np.dtype(kind).itemsize:
+        raise ValueError(f"{path} has {size} bytes, and not {n} numbers")
     return np.memmap(path, kind, "r")
 
 
@@ -167,6 +196,9 @@ class Model:
     folder: str
     shards: int
     starts: list[int] = field(default_factory=list)  # of each vocabulary shard
+    words: list[int] = field(default_factory=list)  # by shard
+    pairs: list[int] = field(default_factory=list)  # by shard
+    stats: frozenset = frozenset()  # shards that have statistics
     v: int = 0
     n: int = 0
     bigram_discounts: tuple = (0.0, 0.0, 0.0)
@@ -180,7 +212,14 @@ class Arrays:
 
     def __init__(self, model: Model):
         self.m = model
-        self.of = lru_cache(MAPS)(lambda name, i: _map(f"{model.folder}/{name}-{i}", np.uint32 if name == "times" else np.uint64))
+        self.of = lru_cache(MAPS)(lambda name, i: _map(f"{model.folder}/{name}-{i}", None if name == "times" else np.uint64, self.size(name, i)))
+
+    def size(self, name: str, i: int) -> int:
+        """The numbers in a file; statistics are written for shards of ids that any bigram has."""
+        if name == "stats":
+            a, b = id_range(i, self.m)
+            return 5 * (b - a) if i in self.m.stats else 0
+        return (self.m.words if name in ("word", "count") else self.m.pairs)[i]
 
     def _find(self, sorted_hashes: np.ndarray, name: str) -> Iterator[tuple[slice, int, np.ndarray, np.ndarray]]:
         cuts = np.searchsorted(shard_of(sorted_hashes, self.m.shards), np.arange(self.m.shards + 1, dtype=np.uint64))
@@ -242,18 +281,21 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(min(max(k - (k + 1) * y * b / a, 0.0), float(k)) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))
 
 
-def fit(df: DataFrame, text: str = "text", folder: str | None = None, shards: int | None = None) -> Model:
+def fit(df: DataFrame, text: str = "text", folder: str | None = None, shard_bytes: int = SHARD_BYTES) -> Model:
     """Count the texts of ``df`` and write the model to ``folder`` (default: a new one in the shared folder).
 
     All words of all whole texts are counted.  Tasks count chunks of a bounded
     number of tokens and hand on distinct words and bigrams; these meet by
-    hash, so a very frequent word is one entry like any other.  The driver gets
-    a few numbers a shard.  A null text counts as empty, with its end as the
+    hash, so a very frequent word is one entry like any other.  There is a shard
+    for each ``shard_bytes`` of text; the driver gets a few numbers of each, and
+    the model knows the size of each file.  Counts have 64 bits; more than 2^32
+    distinct words are refused.  A null text counts as empty, with its end as the
     only token; repeated rows count each time; without rows the model is empty.
     """
     spark = df.sparkSession
     bound_batches(spark)
-    shards = shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = df.agg(F.sum(F.octet_length(text)).alias("n")).first().n or 0
+    shards = max(1, -(-size // shard_bytes))
     where = local_path(folder or scratch_path(spark, "lm"))
     os.makedirs(where, exist_ok=True)
     model = Model(where, shards)
@@ -266,8 +308,8 @@ def fit(df: DataFrame, text: str = "text", folder: str | None = None, shards: in
 
     def write_words(batches):
         rows = []
-        for shard, held in _by_shard(batches):
-            words, n = merge([unpack(b, 1) for b in held[0]])
+        for shard, held in _by_shard(batches, {0: 1}):
+            words, n = held[0].get()
             _write(f"{where}/word-{shard}", words)
             _write(f"{where}/count-{shard}", n)
             rows.append((shard, len(words), int(n.sum())))
@@ -276,6 +318,7 @@ def fit(df: DataFrame, text: str = "text", folder: str | None = None, shards: in
     found = {r.shard: (r.v, r.n) for r in _dealt(texts.mapInArrow(count_words, _BLOBS), shards).mapInArrow(write_words, "shard long, v long, n long").collect()}
     for i in range(shards):
         model.starts.append(model.v)
+        model.words.append(found.get(i, (0, 0))[0])
         model.v += found.get(i, (0, 0))[0]
         model.n += found.get(i, (0, 0))[1]
     if model.v + 2 >= 1 << 32:
@@ -289,40 +332,42 @@ def fit(df: DataFrame, text: str = "text", folder: str | None = None, shards: in
             yield _batch(_blob_rows(0, shard_of(mix(keys), shards), [keys, n]))
 
     def write_pairs(batches):
-        for shard, held in _by_shard(batches):
-            keys, n = merge([unpack(b, 1) for b in held[0]])
+        for shard, held in _by_shard(batches, {0: 1}):
+            keys, n = held[0].get()
             hashes = mix(keys)
             order = np.argsort(hashes)
             _write(f"{where}/hash-{shard}", hashes[order])
-            _write(f"{where}/times-{shard}", np.minimum(n[order], (1 << 32) - 1).astype(np.uint32))
+            _write(f"{where}/times-{shard}", n[order].astype(np.uint32 if n.max(initial=0) < 1 << 32 else np.uint64))
             left, right = keys >> _ID_BITS, keys & _ID_MASK
             after = merge([[left, n, (n == 1).astype(np.uint64), (n == 2).astype(np.uint64), (n > 2).astype(np.uint64)]])
             words, before = np.unique(right, return_counts=True)
             size, k = np.uint64(plan.v + 2), np.uint64(shards)
             rows = _blob_rows(0, after[0] * k // size, after) + _blob_rows(1, words * k // size, [words, before])
-            rows.append((shard, 2, pack(np.arange(1, 5, dtype=np.uint64), np.array([(n == i).sum() for i in range(1, 5)]))))
+            # bigrams that occur once to four times, and, as the fifth, all of the shard
+            rows.append((shard, 2, pack(np.arange(1, 6, dtype=np.uint64), np.array([*((n == i).sum() for i in range(1, 5)), len(n)]))))
             yield _batch(rows)
 
     def write_stats(batches):
         rows = []
-        for shard, held in _by_shard(batches):
+        for shard, held in _by_shard(batches, {0: 4, 1: 1, 2: 1}):
             a, b = id_range(shard, plan)
             stats = np.zeros((b - a, 5), np.uint64)
-            if 0 in held:
-                after = merge([unpack(x, 4) for x in held[0]])
-                stats[(after[0] - np.uint64(a)).astype(np.int64), :4] = np.stack(after[1:], 1)
-            if 1 in held:
-                words, before = merge([unpack(x, 1) for x in held[1]])
-                stats[(words - np.uint64(a)).astype(np.int64), 4] = before
+            after, (words, before) = held[0].get(), held[1].get()
+            stats[(after[0] - np.uint64(a)).astype(np.int64), :4] = np.stack(after[1:], 1)
+            stats[(words - np.uint64(a)).astype(np.int64), 4] = before
             _write(f"{where}/stats-{shard}", stats)
             kinds = [int((stats[:, 4] == i).sum()) for i in range(1, 5)]
-            counts = sum((unpack(x, 1)[1] for x in held.get(2, [])), np.zeros(4, np.uint64)).astype(np.int64).tolist()
-            rows.append((*kinds, int((stats[:, 4] > 2).sum()), int(stats[:, 4].sum()), *counts))
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] or [pa.array([], pa.int64())] * 10, names=names)
+            of = dict(zip(*(x.tolist() for x in held[2].get())))
+            rows.append((shard, *kinds, int((stats[:, 4] > 2).sum()), int(stats[:, 4].sum()), *(of.get(i, 0) for i in range(1, 6))))
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] or [pa.array([], pa.int64())] * len(names), names=names)
 
-    names = ["w1", "w2", "w3", "w4", "w3up", "bigrams", "b1", "b2", "b3", "b4"]
+    names = ["shard", "w1", "w2", "w3", "w4", "w3up", "bigrams", "b1", "b2", "b3", "b4", "pairs"]
     pairs = _dealt(texts.mapInArrow(count_pairs, _BLOBS), shards).mapInArrow(write_pairs, _BLOBS)
-    totals = _dealt(pairs, shards).mapInArrow(write_stats, ", ".join(f"{x} long" for x in names)).agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in names]).first()
+    by_shard = _dealt(pairs, shards).mapInArrow(write_stats, ", ".join(f"{x} long" for x in names)).collect()
+    model.stats = frozenset(r.shard for r in by_shard)
+    in_shard = {r.shard: r.pairs for r in by_shard}
+    model.pairs = [in_shard.get(i, 0) for i in range(shards)]
+    totals = Row(**{x: sum(r[x] for r in by_shard) for x in names[1:]})
     model.bigrams = totals.bigrams
     model.word_kinds = (totals.w1, totals.w2, totals.w3up)
     model.word_discounts = discounts(totals.w1, totals.w2, totals.w3, totals.w4)
