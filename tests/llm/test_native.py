@@ -1,14 +1,17 @@
 """Sharding, mixing and licenses: the operators of DataFrame functions alone."""
 
 import math
+import re
 from collections import Counter, defaultdict
 from fractions import Fraction
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import licenses, mixing
 from tidemark.llm.mixing import Schedule, mix, mixed, slot_table
+from tidemark.llm.queries import LICENSE_TEXTS
 from tidemark.llm.ranking import ranked
 from tidemark.llm.sharding import stratified_shards
 
@@ -208,29 +211,57 @@ def test_licenses(spark):
     assert licenses.license_scan(df.limit(0), "doc_id", "path", "text").collect() == []
 
 
-def test_license_scores(spark):
-    """Cosines by hand."""
-    df = spark.createDataFrame(FILES, "doc_id long, path string, text string")
-    rows, found = len(FILES), {}
-    parsed = licenses.template_terms(licenses.TEMPLATES)
-    import re
-
-    terms = [set(re.findall(licenses.TERM, (t or "").lower())) for _, _, t in FILES]
+def brute_notices(texts, templates):
+    """Cosines by hand, of whole texts and of runs of words from the beginning of any line or sentence, without anchors."""
+    terms = lambda t: re.findall(licenses.TERM, t.lower())
+    parsed = licenses.template_terms(templates)
     vocabulary = {t for _, _, c in parsed for t in c}
-    idf = {t: math.log((1 + rows) / (1 + sum(t in x for x in terms))) + 1 for t in vocabulary}
-    vector = lambda c: {t: (1 + math.log(n)) * idf[t] for t, n in c.items() if t in idf}
-    for key, _, text in FILES:
-        lines = (text or "").split("\n")
-        heads = [p for i, x in enumerate(lines) if any(a in x.lower() for a in licenses.ANCHORS) for p in (x, " ".join(lines[i : i + licenses.HEADER_LINES]))]
-        for head in heads:
-            x = vector(Counter(re.findall(licenses.TERM, head.lower())))
-            for name, _, c in parsed:
-                y = vector(c)
-                dot = sum(w * y.get(t, 0) for t, w in x.items())
-                if dot:
-                    cos = min(1.0, dot / math.sqrt(sum(w * w for w in x.values()) * sum(w * w for w in y.values())))
-                    found[key] = max(found.get(key, (0, "")), (round(cos, 5), name), key=lambda z: z[0])
-    got = {r.doc_id: r.score for r in licenses.notices(df, "doc_id", "text", licenses.TEMPLATES).collect()}
-    assert got.keys() == found.keys()
-    for key, score in got.items():
-        assert score == pytest.approx(found[key][0], abs=2e-5)
+    idf = {t: math.log((1 + len(texts)) / (1 + sum(t in set(terms(x or "")) for x in texts.values()))) + 1 for t in vocabulary}
+    vector = lambda c: {t: (1 + math.log(n)) * idf.get(t, math.log(1 + len(texts)) + 1) for t, n in c.items()}
+    known = [(name, sum(c.values()), vector(c)) for name, _, c in parsed]
+    found = {}
+    for key, text in texts.items():
+        lines = [terms(x) for x in re.sub(licenses.SENTENCE, "\\1\n", text or "").split("\n")]
+        parts = [(True, 0, terms(text or ""))]
+        parts += [(False, n, [t for x in lines[i : i + 2 * n] for t in x][:n]) for i in range(len(lines)) for n in {n for _, n, _ in known if n <= 400}]
+        best = []
+        for whole, size, words in parts:
+            if len(words) <= 64 and re.search(licenses.NEGATED, " ".join(words)):
+                continue
+            x = vector(Counter(words))
+            norm = math.sqrt(sum(w * w for w in x.values()))
+            for name, n, y in known:
+                if words and (whole or n == size):
+                    cos = sum(w * y.get(t, 0) for t, w in x.items()) / norm / math.sqrt(sum(w * w for w in y.values()))
+                    if round(min(1, cos), 6) >= licenses.THRESHOLD:
+                        best.append((not whole, -round(min(1, cos), 6), name))
+        if best:
+            header, score, name = min(best)
+            found[key] = name, -score, not header
+    return found
+
+
+def test_license_scores(spark):
+    negated = "This work is not licensed under the GNU General Public License, version 3."
+    texts = {k: t for k, _, t in FILES} | {20: negated, 21: "Prose first. " + negated, 22: "Prose first. Licensed under the Apache License, Version 2.0. More prose"}
+    texts[23] = "/*\n * Copyright 2020 Somebody\n *\n * " + licenses.TEMPLATES["Apache-2.0"][2].replace(" you ", "\n * you ") + "\n */\nint main() { return 0; }"
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = brute_notices(texts, licenses.TEMPLATES)
+    got = {r.doc_id: (r.license, r.score, r.whole) for r in licenses.notices(df, "doc_id", "text", licenses.TEMPLATES).collect()}
+    assert got.keys() == want.keys() and not got.keys() & {20, 21} and got[22][0] == got[23][0] == "Apache-2.0"
+    for key, (name, score, whole) in got.items():
+        assert (name, whole) == (want[key][0], want[key][2]) and score == pytest.approx(want[key][1], abs=2e-6)
+
+
+@pytest.mark.skipif(not Path(LICENSE_TEXTS).is_dir(), reason="no licence texts on this system")
+def test_full_texts(spark):
+    """Whole licences, with a copyright line before them, are told apart, and their directories inherit them."""
+    known = licenses.templates(LICENSE_TEXTS)
+    rows = [(i, f"d{i}/TEXT", f"Copyright 2021 Some Body\n\n{known[name][-1]}", name) for i, name in enumerate(sorted(known)) if len(known[name][-1]) > 500]
+    rows += [(100 + i, f"d{i}/x.c", "int main;", None) for i, *_ in rows]
+    df = spark.createDataFrame([r[:3] for r in rows], "doc_id long, path string, text string")
+    got = {r.doc_id: (r.license, r.via) for r in licenses.license_scan(df, "doc_id", "path", "text", known).collect()}
+    names = {i: name for i, _, _, name in rows if name}
+    assert {"Apache-2.0", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-1.1", "MPL-2.0", "CC0-1.0", "MIT", "BSD-2-Clause"} <= set(names.values())
+    for i, name in names.items():
+        assert got[i] == (name, "file") and got[100 + i] == (name, "inherited")

@@ -18,6 +18,8 @@ from .unigram import Vocabulary
 
 #: The pieces of a public tokenizer.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+#: Where a Debian system keeps full licence texts; without the folder there are the notices alone.
+LICENSE_TEXTS = "/usr/share/common-licenses"
 
 
 def _remainder(key: str, by: int):
@@ -31,9 +33,9 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model, keep=["doc_id", "held_out"])
 
 
-def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op2_licenses(spark: SparkSession, sf_dir: str, texts: str = LICENSE_TEXTS) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"))
-    return license_scan(docs, "doc_id", "path", "text")
+    return license_scan(docs, "doc_id", "path", "text", licenses.templates(texts))
 
 
 def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +54,7 @@ def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str, pieces: str = PIECES) -> DataFrame:
     ids = encode(table(spark, sf_dir, "documents"), Vocabulary.read(pieces), keep=["doc_id"], verify=True)
-    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), "round_trip")
+    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,11 +104,11 @@ FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN root ON root.a = w.doc_id
 """
 
 
-def licenses_sql() -> str:
+def licenses_sql(texts: str = LICENSE_TEXTS) -> str:
     """The license scan over the same templates."""
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    rows = ", ".join(f"({quoted(name)}, {i}, {quoted(text)})" for name, texts in sorted(licenses.TEMPLATES.items()) for i, text in enumerate(texts))
-    term, anchors = quoted(licenses.TERM), quoted("|".join(licenses.ANCHORS))
+    rows = ", ".join(f"({quoted(name)}, {i}, {quoted(text)})" for name, texts in sorted(licenses.templates(texts).items()) for i, text in enumerate(texts))
+    term, square = quoted(licenses.TERM), licenses.THRESHOLD**2
     return f"""
 WITH docs AS (SELECT doc_id, text, concat_ws('/', source, lang, CAST(doc_id AS VARCHAR)) AS path FROM documents),
 tpl AS (SELECT * FROM (VALUES {rows}) AS t(license, template, text)),
@@ -114,28 +116,35 @@ tt AS (SELECT license, template, term, count(*) AS n FROM (SELECT license, templ
 vocab AS (SELECT DISTINCT term FROM tt),
 df AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), {term})) AS term FROM docs) JOIN vocab USING (term) GROUP BY term),
 idf AS (SELECT term, ln((1 + (SELECT count(*) FROM docs)) / (1.0 + coalesce(df, 0))) + 1 AS idf FROM vocab LEFT JOIN df USING (term)),
-tw AS (SELECT license, template, term, (1 + ln(n)) * idf AS w FROM tt JOIN idf USING (term)),
-model AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY license, template)) AS u FROM tw),
-lines AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM docs WHERE regexp_matches(lower(text), {anchors})),
-first AS (SELECT doc_id, l, i FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM lines) WHERE regexp_matches(lower(l[i]), {anchors})),
-parts AS (SELECT doc_id, 0 AS pos, 0 AS width, text AS part FROM lines UNION ALL SELECT doc_id, i, 1, l[i] FROM first UNION ALL SELECT doc_id, i, 12, array_to_string(l[i:i + {licenses.HEADER_LINES - 1}], ' ') FROM first),
-counted AS (SELECT doc_id, pos, width, term, count(*) AS n FROM (SELECT doc_id, pos, width, unnest(regexp_extract_all(lower(part), {term})) AS term FROM parts) GROUP BY ALL),
-weighed AS (SELECT c.*, (1 + ln(n)) * idf AS w, idf IS NOT NULL AS known FROM counted c LEFT JOIN idf USING (term)),
-norms AS (SELECT doc_id, pos, width, sqrt(sum(w * w)) AS norm, sum(CASE WHEN known THEN n ELSE 0 END) / sum(n) AS share FROM weighed GROUP BY ALL),
-dots AS (SELECT doc_id, pos, width, license, template, sum(weighed.w * u) AS dot FROM weighed JOIN model USING (term) WHERE pos > 0 GROUP BY ALL),
-scored AS (SELECT doc_id, license, round(least(1.0, dot / norm), 6) AS score FROM dots JOIN norms USING (doc_id, pos, width)),
-best AS (SELECT doc_id, license, score FROM scored QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license) = 1),
+tw AS (SELECT license, template, term, n, (1 + ln(n)) * idf AS w FROM tt JOIN idf USING (term)),
+unit AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY license, template)) AS u, sum(n) OVER (PARTITION BY license, template) AS size FROM tw),
+model AS (SELECT license, template, term, u, CASE WHEN size <= {licenses.HEADER_WORDS} THEN size ELSE 0 END AS words,
+  1 - coalesce(sum(u * u) OVER (PARTITION BY license, template ORDER BY u DESC, term ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) >= {square} AS anchor FROM unit),
+anchors AS (SELECT list(DISTINCT term) AS every, list(DISTINCT term) FILTER (words > 0) AS head FROM model WHERE anchor),
+near AS (SELECT doc_id, text, terms FROM (SELECT doc_id, text, regexp_extract_all(lower(text), {term}) AS terms FROM docs WHERE text IS NOT NULL), anchors WHERE list_has_any(terms, every)),
+lines AS (SELECT doc_id, list_transform(string_split(regexp_replace(text, {quoted(licenses.SENTENCE)}, '\\1' || chr(10), 'g'), chr(10)), lambda x: regexp_extract_all(lower(x), {term})) AS l FROM near),
+first AS (SELECT doc_id, l, i FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM lines), anchors WHERE list_has_any(l[i], head) OR coalesce(list_has_any(l[i + 1], head), false)),
+parts AS (
+  SELECT doc_id, 0 AS pos, 0 AS width, terms FROM near
+  UNION ALL SELECT doc_id, i, width, flatten(l[i:i + 2 * width - 1])[1:width] FROM first, (SELECT DISTINCT CAST(words AS BIGINT) AS width FROM model WHERE words > 0)),
+told AS (SELECT * FROM parts WHERE len(terms) > {licenses.NEGATED_WORDS} OR NOT regexp_matches(array_to_string(terms, ' '), {quoted(licenses.NEGATED)})),
+counted AS (SELECT doc_id, pos, width, term, count(*) AS n FROM (SELECT doc_id, pos, width, unnest(terms) AS term FROM told) GROUP BY ALL),
+weighed AS (SELECT c.*, (1 + ln(n)) * coalesce(idf, ln(1 + (SELECT count(*) FROM docs)) + 1) AS w FROM counted c LEFT JOIN idf USING (term)),
+norms AS (SELECT doc_id, pos, width, sqrt(sum(w * w)) AS norm FROM weighed GROUP BY ALL),
+dots AS (SELECT doc_id, pos, width, license, template, sum(weighed.w * u) AS dot FROM weighed JOIN model USING (term) WHERE pos = 0 OR width = words GROUP BY ALL),
+scored AS (SELECT doc_id, pos, license, round(least(1.0, dot / norm), 6) AS score FROM dots JOIN norms USING (doc_id, pos, width)),
+best AS (SELECT doc_id, pos = 0 AS whole, license, score FROM scored WHERE score >= {licenses.THRESHOLD} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pos > 0, score DESC, license) = 1),
 own AS (
   SELECT d.doc_id, d.path, regexp_replace(d.path, '/?[^/]*$', '') AS dir, b.license, b.score,
-    b.license IS NOT NULL AND (regexp_matches(regexp_extract(d.path, '([^/]*)$', 1), {quoted(licenses.FILE_NAME)}) OR n.share >= {licenses.FILE_SHARE}) AS file
-  FROM docs d LEFT JOIN (SELECT * FROM best WHERE score >= {licenses.THRESHOLD}) b USING (doc_id) LEFT JOIN (SELECT * FROM norms WHERE pos = 0) n USING (doc_id)),
+    b.license IS NOT NULL AND (regexp_matches(regexp_extract(d.path, '([^/]*)$', 1), {quoted(licenses.FILE_NAME)}) OR whole) AS file
+  FROM docs d LEFT JOIN best b USING (doc_id)),
 given AS (SELECT dir, license, score FROM own WHERE file QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, license) = 1),
 steps AS (SELECT dir, i AS depth, array_to_string(string_split(dir, '/')[1:i], '/') AS above FROM (SELECT dir, unnest(range(0, len(string_split(dir, '/')) + 1)) AS i FROM (SELECT DISTINCT dir FROM own WHERE license IS NULL))),
-near AS (SELECT s.dir, s.above, g.license, g.score FROM steps s JOIN given g ON s.above = g.dir QUALIFY row_number() OVER (PARTITION BY s.dir ORDER BY depth DESC) = 1)
+near_dir AS (SELECT s.dir, s.above, g.license, g.score FROM steps s JOIN given g ON s.above = g.dir QUALIFY row_number() OVER (PARTITION BY s.dir ORDER BY depth DESC) = 1)
 SELECT o.doc_id, o.path, coalesce(o.license, n.license) AS license, CASE WHEN o.license IS NOT NULL THEN o.score ELSE n.score END AS score,
   CASE WHEN o.license IS NOT NULL AND file THEN 'file' WHEN o.license IS NOT NULL THEN 'header' WHEN n.dir IS NOT NULL THEN 'inherited' END AS via,
   CASE WHEN o.license IS NULL THEN n.above END AS from_dir
-FROM own o LEFT JOIN near n ON o.dir = n.dir
+FROM own o LEFT JOIN near_dir n ON o.dir = n.dir
 """
 
 
