@@ -16,8 +16,8 @@ BATCH_ROWS = 1024
 BATCH_BYTES = 1 << 20
 #: Rows of a narrow table in one file of a checkpoint.
 FILE_ROWS = 100_000
-#: Files of a checkpoint at least, where rows suffice: tasks that may write at once.
-FILES = 6
+#: Files of a checkpoint at least, where there are so many rows for each: tasks that may write at once.
+FILES, SMALL_FILE_ROWS = 6, 10_000
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -58,7 +58,7 @@ def checkpointed(df: DataFrame, most: int | None = None, file_rows: int = FILE_R
     """
     shared_dir(df.sparkSession)
     if most is not None:
-        df = df.coalesce(max(min(FILES, -(-most // 1000)), -(-most // file_rows), 1))
+        df = df.coalesce(max(min(FILES, -(-most // SMALL_FILE_ROWS)), -(-most // file_rows), 1))
     return df.checkpoint(eager=True)
 
 

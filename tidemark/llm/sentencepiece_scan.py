@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound_batches, checkpointed
+from .ranking import BROADCAST_ROWS
 from .unigram import NONE, SPACE, Segmenter, Vocabulary, worker_segmenter
 
 #: Texts of more characters are cut.
@@ -32,8 +33,8 @@ GIANT = 65_536
 CHUNK = 16_384
 #: Elements of a scan that one task combines.
 FAN = 64
-#: Chunks for which a task is worth while, and giant texts in one file.
-TASK_CHUNKS, FILE_TEXTS = 8, 64
+#: Chunks for which a task is worth while; giant texts, and chunks, in one file of a checkpoint.
+TASK_CHUNKS, FILE_TEXTS, FILE_CHUNKS = 16, 64, 64
 
 
 def transfer(model: Segmenter, part: str, size: int) -> np.ndarray:
@@ -196,7 +197,7 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: list
     chunks = checkpointed(cut.repartition(tasks).mapInArrow(matrices, "row long, chunk long, part string, size int, m array<bigint>"))
     entries = scanned(chunks.select("row", F.col("chunk").alias("at"), "m"), scores(vocabulary.longest), many.longest)
     entries = entries.select("row", F.col("at").alias("chunk"), F.col("state").alias("entry"))
-    seeded = checkpointed(chunks.drop("m").join(entries, ["row", "chunk"]))
+    seeded = checkpointed(chunks.drop("m").join(entries, ["row", "chunk"]), many.chunks, FILE_CHUNKS)
 
     def backs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = worker_segmenter(shared)
@@ -204,8 +205,8 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: list
             made = [_backs(model, p, s, e) for p, s, e in zip(*(batch.column(c).to_pylist() for c in ("part", "size", "entry")))]
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("chunk"), pa.array(made, pa.list_(pa.int64()))], names=["row", "chunk", "m"])
 
-    maps = checkpointed(seeded.repartition(tasks).mapInArrow(backs, "row long, chunk long, m array<bigint>"))
-    last = maps.groupBy("row").agg(F.max("chunk").alias("last"))
+    maps = seeded.repartition(tasks).mapInArrow(backs, "row long, chunk long, m array<bigint>")
+    last = F.broadcast(seeded.groupBy("row").agg(F.max("chunk").alias("last"))) if many.texts <= BROADCAST_ROWS else seeded.groupBy("row").agg(F.max("chunk").alias("last"))
     turned = maps.join(last, "row").select("row", (F.col("last") - F.col("chunk")).alias("at"), "m")
     exits = scanned(turned, PATHS, many.longest).join(last, "row").select("row", (F.col("last") - F.col("at")).alias("chunk"), F.col("state")[0].cast("int").alias("exit"))
 
