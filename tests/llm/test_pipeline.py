@@ -3,6 +3,7 @@
 from collections import Counter
 
 import zstandard
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.conftest import SF
@@ -104,3 +105,24 @@ def test_documents_in_three_languages_stay(spark):
     docs = spark.createDataFrame([tuple(r) for r in rows] + mixed, "doc_id long, text string, lang string, source string, n_chars long")
     kept = {r.doc_id for r in corpus_pipeline.languages(spark, docs, SF).collect()}
     assert {r[0] for r in mixed} <= kept
+
+
+def test_names_that_clash_and_repeated_rows(spark, folder):
+    """Columns with the names of measures, places and helpers are the caller's; of repeated rows one stays."""
+    own = ["kept", "score", "ratio", "languages", "lang_pred", "n_words", "position", "slot", "block", "phase", "id", "h", "n", "component_id", "count"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(120)
+    for i, c in enumerate(own):
+        docs = docs.withColumn(c, F.col("doc_id") * 100 + i)
+    docs = docs.union(docs.where("doc_id % 5 = 0")).union(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
+    docs.write.parquet(f"{folder}/in")
+    docs = spark.read.parquet(f"{folder}/in")
+    columns = docs.columns
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        stage(spark, docs, SF).write.parquet(f"{folder}/{i}")
+        docs = spark.read.parquet(f"{folder}/{i}")
+        assert docs.columns == columns
+    rows = docs.collect()
+    assert len(rows) > 50 and len({r.doc_id for r in rows}) == len(rows)
+    assert all(r[c] == r.doc_id * 100 + i for r in rows if r.doc_id is not None for i, c in enumerate(own))
+    out = corpus_pipeline.tokens(spark, docs, SF).collect()
+    assert [r.position for r in out] == list(range(len(rows))) and {r.doc_id for r in out} == {r.doc_id for r in rows}

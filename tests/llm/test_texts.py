@@ -178,6 +178,35 @@ def test_mixture_by_brute_force(spark, docs):
     assert chosen[1].sum() == 0 and model.languages[chosen[2].argmax()] == a
 
 
+def test_chosen_set_by_brute_force(spark, docs):
+    """The set that a text gets is the best of all sets, by plain EM and the same penalty, and is in its own order of shares."""
+    rows, df = docs
+    model = langid.fit(df)
+    k = len(model.languages)
+    by = {lang: [t for _, t, x in rows if x == lang and len(t or "") > 600] for lang in model.languages}
+    names = sorted(by)
+    texts = [by[n][0] for n in names] + [by[a][0][:500] + "\n" + by[b][0][:500] for a, b in combinations(names, 2)] + ["\n".join(by[n][0][:400] for n in names[:3])]
+    _, chosen, sizes = langid.infer(model, texts)
+    for text, row, size in zip(texts, chosen, sizes):
+        bucket, _ = langid.trigrams([text])
+        p, best = model.likelihood[bucket].astype(float), []
+        for m in range(1, k + 1):
+            for some in combinations(range(k), m):
+                q, shares = p[:, some], np.full(m, 1 / m)
+                for _ in range(400):
+                    r = q * shares
+                    shares = (r / r.sum(1, keepdims=True)).mean(0)
+                best.append((np.log(q @ shares).sum() - m * langid.PENALTY * 0.5 * math.log(size), some))
+        assert tuple(np.flatnonzero(row)) == max(best)[1]
+
+
+def test_repeated_rows_and_ties(spark):
+    df = spark.createDataFrame([(1, "abc abc", "x"), (1, "abc abc", "x"), (2, "abc abc", "y"), (2, "abc abc", "y")], "doc_id long, text string, lang string")
+    got = langid.predict(df, langid.fit(df)).collect()
+    assert {(r.lang_pred, tuple(r.languages)) for r in got} == {("x", ("x",))}  # of equal ones, the first by name
+    assert len({tuple(r)[1:] for r in quality(df, keep=["doc_id"]).collect()}) == 1
+
+
 def test_no_language(spark):
     df = spark.createDataFrame([(1, "text"), (2, None)], "doc_id long, text string").withColumn("lang", F.lit(None).cast("string"))
     model = langid.fit(df)

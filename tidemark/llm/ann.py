@@ -255,6 +255,7 @@ def search(index: Index, queries: DataFrame, key: str, vector: str, k: int = 20)
     books = spark.sparkContext.broadcast(index.books)
     dim = index.books.dim
     asked = queries.where(F.col(key).isNotNull() & usable(vector)).where(F.size(vector) == dim).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).dropDuplicates(["id"])
+    asked = checkpointed(asked)  # read once for each batch
     batches = -(-asked.count() * dim * 8 // QUERY_BYTES)
     best = none.drop("rank")
     for n in range(batches):

@@ -18,6 +18,8 @@ BATCH_BYTES = 1 << 20
 FILE_ROWS = 100_000
 #: Files of a checkpoint at least, where there are so many rows for each: tasks that may write at once.
 FILES, SMALL_FILE_ROWS = 6, 10_000
+#: Bytes of a row group that a task gathers before it writes them.
+ROW_GROUP_BYTES = 16 << 20
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -67,9 +69,9 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def stored(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """Write ``df`` as a Parquet table in the shared folder and read it again."""
+    """Write ``df`` as a Parquet table in the shared folder and read it again; small row groups bound what a task holds."""
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
