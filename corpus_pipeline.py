@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.llm import langid
-from tidemark.llm.common import stored
+from tidemark.llm.common import remove, stored
 from tidemark.llm.mixing import by_place, mixed
 from tidemark.llm.neardup import near_duplicates
 from tidemark.llm.quality import passed
@@ -35,8 +35,11 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near duplicates: 0.8 of the five-word shingles."""
+    """Keep one document of each group of near duplicates: 0.8 of the five-word shingles; of rows with the same id and text, one."""
     kept = near_duplicates(docs, words=5, percent=80).where("kept").select(F.col("doc_id").alias("__id"))
+    twice = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    if not twice.isEmpty():
+        docs = docs.where("doc_id is null").union(docs.where("doc_id is not null").dropDuplicates(["doc_id", "text"]))
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
 
 
@@ -81,7 +84,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows for ``documents``; a stage's table goes as soon as the next one's is there."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs, _ = stored(stage(spark, docs, sf_dir), "stage")
+        docs, path = stored(stage(spark, docs, sf_dir), "stage")
+        if before:
+            remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
