@@ -27,7 +27,7 @@ UNIT = 16
 UNKNOWN_PENALTY = 10 * UNIT
 NONE = -(1 << 60)
 #: Bytes, about, of the segments whose results a worker remembers before it starts afresh, and the longest of them.
-MEMORY_BYTES = 64 << 20
+MEMORY_BYTES = 96 << 20
 REMEMBERED = 64
 #: A count and a score in one number, so that a text's are one sum.
 SCORE_BITS = 44
