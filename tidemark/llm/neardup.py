@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bound_batches, checkpointed, mix, stored, word_hashes
+from .common import FILE_ROWS, bound_batches, checkpointed, mix, stored, word_hashes
 from .components import components
 
 SKETCH = 64
@@ -117,7 +117,7 @@ class Corpus:
         """``id`` and ``text`` of the checkpointed ``ids``, stored, each once."""
         n = ids.count()
         few = F.broadcast if n <= BROADCAST_IDS else lambda df: df
-        asked = few(checkpointed(self.reps.join(few(ids), "id", "left_semi").select("id", "h"), n))
+        asked = few(checkpointed(self.reps.join(few(ids), "id", "left_semi").select("id", "h").repartition(max(1, -(-n // FILE_ROWS)))))
         return checkpointed(self.docs.join(asked, ["id", "h"], "left_semi").dropDuplicates(["id"]).select("id", "text"), n, FILE_TEXTS)
 
 

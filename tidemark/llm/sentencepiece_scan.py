@@ -177,7 +177,8 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: list
     if not many.texts:
         return short
     tasks = -(-many.chunks // TASK_CHUNKS)
-    rows = checkpointed(giants.withColumn("__row", F.monotonically_increasing_id()), many.texts, FILE_TEXTS)
+    # a shuffle, so that the scan for them keeps its tasks
+    rows = checkpointed(giants.withColumn("__row", F.monotonically_increasing_id()).repartition(-(-many.texts // FILE_TEXTS)))
 
     # characters are counted from a string's beginning: runs of chunks are cut first, and chunks from these
     mark = F.lit(SPACE if vocabulary.prefix else "")
