@@ -32,6 +32,16 @@ def test_query(spark, duck, name):
     assert sorted(rows, key=repr) == sorted((tuple(r[i] for i in at) for r in want.fetchall()), key=repr)
 
 
+def test_many_rows_in_one_commit_on_a_table_with_their_keys(spark, duck, tmp_path):
+    """The table of 60 times sf0.1 has keys of the range that is inserted; the SQL keeps both rows."""
+    duck.sql(f"COPY (SELECT * REPLACE (o_orderkey + 999900 AS o_orderkey) FROM orders) TO '{tmp_path}/orders.parquet'")
+    QUERIES["atomic_multichunk"](spark, str(tmp_path)).write.parquet(f"{tmp_path}/got")
+    want = SQL["atomic_multichunk"].replace("FROM orders", f"FROM '{tmp_path}/orders.parquet'")
+    got = f"SELECT k, v FROM '{tmp_path}/got/*.parquet'"
+    assert duck.sql(f"SELECT count(*) FROM (SELECT k FROM ({want}) GROUP BY k HAVING count(*) > 1)").fetchall() == [(1400,)]
+    assert duck.sql(f"({got} EXCEPT ALL ({want})) UNION ALL (({want}) EXCEPT ALL {got})").fetchall() == []
+
+
 def test_filters_reach_the_scan(spark):
     from tidemark.operators import lookup, overlay
     from tidemark.plans.catalogue import log

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.errors import NullValue, UniqueViolation, UnsupportedRename, WriteConflict
+from tidemark.errors import NullValue, RepeatedKeys, UniqueViolation, UnsupportedRename, WriteConflict
 from tidemark.sources.column import ResidentColumn
 from tidemark.sources.store import Store
 
@@ -104,6 +104,49 @@ def test_all_or_nothing(spark, store):
     assert store.snapshot().count() == 300_006
 
 
+def test_without_a_unique_key(spark, folder):
+    """All rows stay, whichever way they lie: as a base, as a net effect, as a new base."""
+    store = fill(Store(spark, folder, unique=False), [(n, 0) for n in range(100)] + [(5, 0), (5, 7)])
+    want = [(n, 0) for n in range(100)] + [(5, 0), (5, 7)]
+    for more in ([(5, 0), (5, 1)], [(5, 1)], [(n, 1) for n in range(50)] * 2):
+        mark = store.version
+        with store.begin() as txn:
+            txn.insert(more)
+            txn.insert(more[:1])
+            kept = txn.savepoint()
+            txn.insert([(8, 8)])
+            txn.rollback_to(kept)
+            assert rows(txn.scan()) == sorted(want + more + more[:1])
+        assert rows(store.snapshot(mark)) == sorted(want)
+        want += more + more[:1]
+        assert rows(store.snapshot()) == sorted(want)
+        assert rows(store.get_many([5])) == sorted(r for r in want if r[0] == 5)
+    assert sorted((r.k, r.v) for page in store.pages(30) for r in page) == sorted(want)
+    txn = store.begin()
+    txn.insert([(1, 1)])
+    with pytest.raises(NullValue):
+        txn.insert([(None, 1)])
+    txn.rollback()
+    again = Store(spark, folder)  # as it was made
+    assert not again.unique and rows(again.snapshot()) == sorted(want)
+    a, b = again.begin(), again.begin()
+    for txn in (a, b):
+        txn.insert([(1, 1)])
+    a.commit()
+    with pytest.raises(WriteConflict):
+        b.commit()
+    txn = again.begin()
+    for refused in (lambda: again.put(1, 2), lambda: again.remove(1), lambda: again.get(1), lambda: txn.get(1), lambda: txn.update(K() == 1, F.lit(2)), lambda: txn.delete(K() == 1), lambda: txn.rename(K() == 1, F.lit(2)), lambda: again.find_many(again.snapshot())):
+        with pytest.raises(RepeatedKeys):
+            refused()
+    txn.rollback()
+    assert rows(again.snapshot()) == sorted([*want, (1, 1)])
+    other = Store(spark, folder + "/other")
+    assert other.unique
+    with pytest.raises(ValueError):
+        other.commit_rows(again.snapshot(), other.version)
+
+
 def test_key_updates(store):
     fill(store, [(1, 10), (2, 20)])
     with pytest.raises(UniqueViolation), store.begin() as txn:

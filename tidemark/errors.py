@@ -21,5 +21,9 @@ class WriteConflict(KeyedError):
     """Another transaction has published a version since this one began."""
 
 
+class RepeatedKeys(KeyedError):
+    """Keys of the table may repeat, so a key names no row of it."""
+
+
 class NullValue(KeyedError, ValueError):
     """A key or value is null."""

@@ -17,7 +17,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import NullValue, UniqueViolation, UnsupportedRename, WriteConflict
+from ..errors import NullValue, RepeatedKeys, UniqueViolation, UnsupportedRename, WriteConflict
 from ..functions.schema import KV, OPS, local, refuse_nulls, unsigned32
 from ..operators import dml
 from ..operators.lookup import find_many, multi_get, pages, point_get
@@ -90,14 +90,18 @@ class _Folder:
 class Store:
     """One keyed table in one folder; tables share nothing.
 
-    ``u32_values`` keeps the low 32 bits of values only, at commit.
+    ``u32_values`` keeps the low 32 bits of values only, at commit.  A table
+    that is made with ``unique=False`` has no unique key, as one without a
+    primary key in SQL: inserted rows stay beside those of the same key, and
+    what needs a key to name one row is refused.  A table stays as it was made.
     """
 
-    def __init__(self, spark: SparkSession, path: str, u32_values: bool = False):
+    def __init__(self, spark: SparkSession, path: str, u32_values: bool = False, unique: bool = True):
         self.spark, self.u32_values = spark, u32_values
         self.folder = _Folder(spark, path)
         if not self.versions():
-            self.folder.publish("versions/0.json", json.dumps({"version": 0, "base": None, "base_rows": 0, "delta": None, "batches": {}}))
+            self.folder.publish("versions/0.json", json.dumps({"version": 0, "base": None, "base_rows": 0, "delta": None, "batches": {}, "unique": unique}))
+        self.unique = self.manifest().get("unique", True)
 
     # versions
 
@@ -120,10 +124,18 @@ class Store:
         """The rows of one version, the newest by default; it stays the same whatever is committed later."""
         m = self.manifest(version)
         base = self._read(m["base"], KV)
-        return base if m["delta"] is None else overlay(base, self._read(m["delta"], DELTA))
+        return base if m["delta"] is None else self.over(base, self._read(m["delta"], DELTA))
 
     scan = snapshot
 
+    def over(self, base: DataFrame, delta: DataFrame) -> DataFrame:
+        """The base with a net effect over it; without a unique key that is more rows."""
+        return overlay(base, delta) if self.unique else base.unionByName(delta.select("k", "v"))
+
+    def require_unique(self) -> None:
+        if not self.unique:
+            raise RepeatedKeys("the table has no unique key: it takes inserts and scans, and gets of all rows of keys")
+
     def pages(self, rows: int, version: int | None = None) -> Iterator[list]:
         """The rows of one version, page by page in order of the key; the driver holds a page at a time."""
         paged = self.paged(rows, version)
@@ -137,6 +149,7 @@ class Store:
     # reads
 
     def get(self, key: int) -> int | None:
+        self.require_unique()
         row = point_get(self.snapshot(), key).first()
         return None if row is None else row.v
 
@@ -144,6 +157,7 @@ class Store:
         return multi_get(self.snapshot(), keys)
 
     def find_many(self, requests: DataFrame) -> DataFrame:
+        self.require_unique()
         return find_many(self.snapshot(), requests)
 
     # writes
@@ -160,6 +174,7 @@ class Store:
 
         Without an order, a DataFrame with repeated keys is refused.
         """
+        self.require_unique()
         if isinstance(rows, list):
             rows, order = local(self.spark, [(k, v, n) for n, (k, v) in enumerate(rows)], "k long, v long, n long"), "n"
         refuse_nulls(rows)
@@ -170,7 +185,7 @@ class Store:
         self.commit_delta(rows_of(self.spark, rows).withColumn("deleted", F.lit(False)), self.version)
 
     def insert_many(self, rows: DataFrame | list) -> int:
-        """Insert keys that must be new, all or nothing; returns the version."""
+        """Insert keys that must be new where keys are unique, all or nothing; returns the version."""
         txn = self.begin()
         try:
             txn.insert(rows)
@@ -208,11 +223,22 @@ class Store:
 
     def commit_delta(self, delta: DataFrame, based_on: int, batch: tuple[str, int] | None = None) -> int:
         """Publish the version after ``based_on``: its rows with a net effect over them."""
+        self.require_unique()
+        return self._commit(delta, based_on, batch)
+
+    def commit_rows(self, rows: DataFrame, based_on: int) -> int:
+        """Publish the version after ``based_on`` of a table without a unique key: its rows and these."""
+        if self.unique:
+            raise ValueError("rows come unchecked, so the table's keys must not be unique")
+        return self._commit(rows.select("k", "v", F.lit(False).alias("deleted")), based_on)
+
+    def _commit(self, delta: DataFrame, based_on: int, batch: tuple[str, int] | None = None) -> int:
         m = self.manifest(based_on)
         if self.u32_values:
             delta = delta.withColumn("v", unsigned32("v"))
         if m["delta"] is not None:
-            delta = merged(self._read(m["delta"], DELTA), delta)
+            old = self._read(m["delta"], DELTA)
+            delta = merged(old, delta) if self.unique else old.unionByName(delta)
         new = based_on + 1
         name = f"data/{new}-{uuid.uuid4().hex}"
         out = m | {"version": new, "delta": f"{name}.delta"}
@@ -223,7 +249,8 @@ class Store:
             compact = delta.count() > COMPACT_AT * m["base_rows"]
         if compact:
             # ranges of keys in order, so that the files' and row groups' statistics leave out all but a few for a key
-            overlay(self._read(m["base"], KV), delta).repartitionByRange("k").sortWithinPartitions("k").write.parquet(f"{self.folder.path}/{name}")
+            ranges = ["k"] if self.unique else ["k", "v"]  # rows of one key are spread by their values
+            self.over(self._read(m["base"], KV), delta).repartitionByRange(*ranges).sortWithinPartitions("k").write.parquet(f"{self.folder.path}/{name}")
             out |= {"base": name, "delta": None, "base_rows": self._read(name, KV).count()}
         if batch:
             out["batches"] = m["batches"] | {batch[0]: batch[1]}
@@ -249,8 +276,10 @@ class Transaction:
     Reads see the version with the log over it.  Each statement writes its
     resolved rows as Parquet, so that plans do not grow with the statements.
     A key that is inserted twice in the transaction is refused at once, one
-    that is there already at commit.  A failed commit, and a rollback, leave
-    the table as it was.  Used as a context manager it commits at the end.
+    that is there already at commit.  A table without a unique key takes
+    inserts only and keeps all of their rows.  A failed commit, and a
+    rollback, leave the table as it was.  Used as a context manager it commits
+    at the end.
     """
 
     def __init__(self, store: Store, allow_overlap: bool = False):
@@ -315,9 +344,12 @@ class Transaction:
 
     def scan(self) -> DataFrame:
         self._check_open()
-        return overlay(self.base, net_effect(self.ops)) if self._logs else self.base
+        if not self._logs:
+            return self.base
+        return self.store.over(self.base, net_effect(self.ops) if self.store.unique else self.ops)
 
     def get(self, key: int) -> int | None:
+        self.store.require_unique()
         row = point_get(self.scan(), key).first()
         return None if row is None else row.v
 
@@ -329,18 +361,23 @@ class Transaction:
     def insert(self, rows: DataFrame | list) -> None:
         self._check_open()
         path, written = self._resolved(rows_of(self.spark, rows).select(*self._step("INS"), "k", "v"))
-        self._refuse_bad(written)
-        if self._logs:
-            self._refuse(dml.existing(self._live(), written), UniqueViolation, "keys are there in this transaction")
+        if self.store.unique:
+            self._refuse_bad(written)
+            if self._logs:
+                self._refuse(dml.existing(self._live(), written), UniqueViolation, "keys are there in this transaction")
+        else:
+            refuse_nulls(written)
         self._log(path)
 
     def update(self, where: Column, value: Column) -> None:
+        self.store.require_unique()
         rows = self.scan().where(where).select(*self._step("UPD"), "k", value.cast("long").alias("v"))
         path, written = self._resolved(rows)
         refuse_nulls(written)
         self._log(path)
 
     def delete(self, where: Column) -> None:
+        self.store.require_unique()
         self._log(self._resolved(self.scan().where(where).select(*self._step("DEL"), "k", F.lit(None).cast("long").alias("v")))[0])
 
     def rename(self, where: Column, key: Column, value: Column | None = None) -> None:
@@ -348,6 +385,7 @@ class Transaction:
 
         Keys that are both old and new in the statement are refused, unless overlaps are allowed.
         """
+        self.store.require_unique()
         value = F.col("v") if value is None else value
         rows = self.scan().where(where).select(F.col("k").alias("old_k"), key.cast("long").alias("k"), value.cast("long").alias("v"))
         _, rows = self._resolved(rows)
@@ -384,6 +422,8 @@ class Transaction:
         try:
             if not self._logs:
                 return self.version
+            if not self.store.unique:
+                return self.store.commit_rows(self.ops, self.version)
             if self.store.manifest(self.version)["base"] is not None:  # else the statements' checks are enough
                 self._refuse(violations(self.base, self.ops), UniqueViolation, "keys are there")
             return self.store.commit_delta(net_effect(self.ops), self.version)
